@@ -52,3 +52,13 @@ class Ctx:
         """One-row frame with the record count."""
         from pyspark.sql import functions as F
         return self.clean.agg(F.count(F.lit(1)).alias("total"))
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        from ..operators.graph import nodes_from_counts
+        return nodes_from_counts(self.profile, self.spec)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        from ..operators.graph import relation_edges
+        return relation_edges(self.pairs, self.spec)

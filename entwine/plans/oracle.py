@@ -131,3 +131,43 @@ ORACLE["rank_emergency"] = _rank_sql(
 # ---------------------------------------------------------------- 2.6 flatten
 ORACLE["entity_stats"] = (f"{ctes('profile')} SELECT entity AS entity_name, entity_type, patient_count, "
                           f"avg_billing, avg_age, avg_stay FROM profile")
+
+
+# ---------------------------------------------------------------- graph
+from .sqlparts import degree_ctes, graph_ctes, plain  # noqa: E402
+
+GR = graph_ctes()
+GRD = GR + ",\n" + degree_ctes()
+ORACLE["node_tooltip"] = f"{GR} SELECT id, title FROM nodes"
+ORACLE["edge_tooltip"] = f"{GR} SELECT src, dst, title FROM edges"
+ORACLE["tooltip_plain"] = (f"{GR} SELECT id, {plain('title')} AS tooltip FROM nodes UNION ALL "
+                           f"SELECT src || '->' || dst, {plain('title')} FROM edges")
+ORACLE["attr_defaults"] = f"""{GR},
+ids AS (SELECT id FROM nodes UNION SELECT src FROM edges UNION SELECT dst FROM edges)
+SELECT ids.id, coalesce(color, '{SPEC.default_color}') AS color, coalesce(node_type, '{SPEC.default_node_type}') AS node_type,
+  coalesce(count, 0)::BIGINT AS count FROM ids LEFT JOIN nodes USING (id)"""
+ORACLE["color_lookup"] = f"{GR} SELECT id, node_type, color FROM nodes"
+ORACLE["graph_size"] = f"{GR} SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges"
+ORACLE["max_edge_weight"] = f"{GR} SELECT coalesce(max(weight), 1)::BIGINT AS max_weight FROM edges"
+ORACLE["graph_nodes"] = f"{GR} SELECT * FROM nodes"
+for _k, _r in [("edges_treated_with", "TREATED_WITH"), ("edges_covered_by", "COVERED_BY"),
+               ("edges_admitted_as", "ADMITTED_AS"), ("edges_shows_result", "SHOWS_RESULT"),
+               ("edges_associated_with", "ASSOCIATED_WITH")]:
+    ORACLE[_k] = f"{GR} SELECT * FROM edges WHERE relationship = '{_r}'"
+ORACLE["graph_edges"] = f"{GR} SELECT * FROM edges"
+ORACLE["node_degree"] = f"{GRD} SELECT id, degree FROM nd"
+ORACLE["degree_centrality"] = f"{GRD} SELECT id, degree, centrality FROM cen"
+ORACLE["node_radius"] = f"{GRD} SELECT id, radius FROM cen"
+ORACLE["edge_width"] = f"{GRD} SELECT src AS source, dst AS target, width FROM wid"
+ORACLE["graph_metadata"] = (f"{GRD} SELECT id, label AS node, coalesce(node_type, 'unknown') AS node_type, degree, "
+                            f"centrality, coalesce(count, 0)::BIGINT AS patient_count FROM cen")
+ORACLE["graph_payload"] = (f"{GRD} SELECT id, label, coalesce(color, '{SPEC.default_color}') AS color, radius, "
+                           f"coalesce(node_type, '{SPEC.default_node_type}') AS node_type, coalesce(count, 0)::BIGINT AS count, "
+                           f"{plain('coalesce(title, label)')} AS tooltip FROM cen")
+_T = "coalesce(title, '')"
+ORACLE["graph_payload_links"] = (f"{GRD} SELECT src AS source, dst AS target, coalesce(weight, 1)::BIGINT AS weight, width, "
+                                 f"coalesce(relationship, '') AS relationship, {plain(_T)} AS tooltip FROM wid")
+ORACLE["ego_network"] = f"""{GR}
+SELECT id AS center, id AS member, NULL::VARCHAR AS relationship, NULL::BIGINT AS weight, true AS is_center FROM nodes
+UNION ALL SELECT src, dst, relationship, weight, false FROM edges
+UNION ALL SELECT dst, src, relationship, weight, false FROM edges"""

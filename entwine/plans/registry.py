@@ -257,3 +257,118 @@ def rank_emergency(c: Ctx) -> DataFrame:
 @reg("entity_stats")
 def entity_stats(c: Ctx) -> DataFrame:
     return P.entity_stats(c.profile, c.spec)
+
+
+# ---------------------------------------------------------------- 2.2 graph text / lookups
+from ..operators import graph as G  # noqa: E402
+
+
+@reg("node_tooltip")
+def node_tooltip(c: Ctx) -> DataFrame:
+    return c.nodes.select("id", "title")
+
+
+@reg("edge_tooltip")
+def edge_tooltip(c: Ctx) -> DataFrame:
+    return c.edges.select("src", "dst", "title")
+
+
+@reg("tooltip_plain")
+def tooltip_plain(c: Ctx) -> DataFrame:
+    n = c.nodes.select("id", TX.tooltip_plain("title").alias("tooltip"))
+    e = c.edges.select(F.concat("src", F.lit("->"), "dst").alias("id"), TX.tooltip_plain("title").alias("tooltip"))
+    return n.unionByName(e)
+
+
+@reg("attr_defaults")
+def attr_defaults(c: Ctx) -> DataFrame:
+    """Every node id the graph mentions (nodes and edge endpoints) with its display
+    attributes, falling back to the defaults where a node carries none."""
+    ends = c.edges.select(F.col("src").alias("id")).unionByName(c.edges.select(F.col("dst").alias("id")))
+    ids = c.nodes.select("id").unionByName(ends).distinct()
+    j = ids.join(c.nodes, "id", "left")
+    return j.select("id",
+                    F.coalesce("color", F.lit(c.spec.default_color)).alias("color"),
+                    F.coalesce("node_type", F.lit(c.spec.default_node_type)).alias("node_type"),
+                    F.coalesce("count", F.lit(0)).cast("long").alias("count"))
+
+
+@reg("color_lookup")
+def color_lookup(c: Ctx) -> DataFrame:
+    return c.nodes.select("id", "node_type", G.color_of(F.col("node_type"), c.spec).alias("color"))
+
+
+@reg("graph_size")
+def graph_size(c: Ctx) -> DataFrame:
+    n = c.nodes.agg(F.count(F.lit(1))).scalar()
+    m = c.edges.agg(F.count(F.lit(1))).scalar()
+    return c.spark.range(1).select(n.alias("n_nodes"), m.alias("n_edges"))
+
+
+@reg("max_edge_weight")
+def max_edge_weight(c: Ctx) -> DataFrame:
+    return G.max_edge_weight(c.edges)
+
+
+# ---------------------------------------------------------------- 2.7 graph construction
+@reg("graph_nodes")
+def graph_nodes(c: Ctx) -> DataFrame:
+    return c.nodes
+
+
+def _rel(name: str):
+    def fn(c: Ctx) -> DataFrame:
+        return G.relation_edges(c.pairs, c.spec, only=name)
+    return fn
+
+
+for _k, _r in [("edges_treated_with", "TREATED_WITH"), ("edges_covered_by", "COVERED_BY"),
+               ("edges_admitted_as", "ADMITTED_AS"), ("edges_shows_result", "SHOWS_RESULT"),
+               ("edges_associated_with", "ASSOCIATED_WITH")]:
+    reg(_k)(_rel(_r))
+
+
+@reg("graph_edges")
+def graph_edges(c: Ctx) -> DataFrame:
+    return c.edges
+
+
+# ---------------------------------------------------------------- 2.9 analytics / export
+@reg("node_degree")
+def node_degree(c: Ctx) -> DataFrame:
+    return G.node_degree(c.nodes, c.edges).select("id", "degree")
+
+
+@reg("degree_centrality")
+def degree_centrality(c: Ctx) -> DataFrame:
+    return G.with_centrality(c.nodes, c.edges).select("id", "degree", "centrality")
+
+
+@reg("node_radius")
+def node_radius(c: Ctx) -> DataFrame:
+    return G.with_centrality(c.nodes, c.edges).select("id", "radius")
+
+
+@reg("edge_width")
+def edge_width(c: Ctx) -> DataFrame:
+    return G.with_width(c.edges).select(F.col("src").alias("source"), F.col("dst").alias("target"), "width")
+
+
+@reg("graph_metadata")
+def graph_metadata(c: Ctx) -> DataFrame:
+    return G.graph_metadata(c.nodes, c.edges)
+
+
+@reg("graph_payload")
+def graph_payload(c: Ctx) -> DataFrame:
+    return G.payload_nodes(c.nodes, c.edges, c.spec)
+
+
+@reg("graph_payload_links")
+def graph_payload_links(c: Ctx) -> DataFrame:
+    return G.payload_links(c.edges)
+
+
+@reg("ego_network")
+def ego_network(c: Ctx) -> DataFrame:
+    return G.ego_network(c.nodes, c.edges)

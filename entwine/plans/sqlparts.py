@@ -126,3 +126,61 @@ def ctes(*names: str) -> str:
                 need.append(d)
     body = ",\n".join([VISITS, CLEAN] + [table[n]() for n in need])
     return "WITH " + body
+
+
+def _case(col: str, mapping: dict, default: str = "NULL") -> str:
+    whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in mapping.items())
+    return f"(CASE {col} {whens} ELSE {default} END)"
+
+
+TYPE_LABEL = {a.node_type: a.type_label for a in SPEC.node_attrs}
+
+
+def nodes_cte(src: str = "profile") -> str:
+    color = _case("entity_type", SPEC.colors, f"'{SPEC.default_color}'")
+    tl = _case("entity_type", TYPE_LABEL)
+    return (f"nodes AS (SELECT entity_type || ':' || entity AS id, entity AS label, entity_type AS node_type, "
+            f"{color} AS color, patient_count AS count, "
+            f"'<b>' || entity || '</b><br>Type: ' || {tl} || '<br>Patients: ' || {fmt_int('patient_count')} AS title "
+            f"FROM {src})")
+
+
+def relation_select(rel, src: str = "pairs") -> str:
+    order = [a.key for a in SPEC.attributes]
+    hub = SPEC.attr(SPEC.hub)
+    tgt = SPEC.attr(rel.target)
+    x, y = sorted((hub.key, tgt.key), key=order.index)
+    h, t = ("a", "b") if x == hub.key else ("b", "a")
+    q = (f"SELECT '{hub.node_type}:' || {h} AS src, '{tgt.node_type}:' || {t} AS dst, '{rel.name}' AS relationship, "
+         f"n AS weight, '{rel.name}<br>' || {fmt_int('n')} || ' {rel.unit}' AS title FROM {src} "
+         f"WHERE pair = '{x}|{y}'")
+    if rel.top_k:
+        q += f" QUALIFY row_number() OVER (PARTITION BY {h} ORDER BY n DESC, {t}) <= {rel.top_k}"
+    return q
+
+
+def edges_cte(src: str = "pairs") -> str:
+    return "edges AS (" + "\nUNION ALL\n".join(f"({relation_select(r, src)})" for r in SPEC.relations) + ")"
+
+
+def degree_ctes() -> str:
+    return """deg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id),
+nn AS (SELECT count(*) AS n FROM nodes),
+nd AS (SELECT nodes.*, coalesce(deg.degree, 0)::BIGINT AS degree FROM nodes LEFT JOIN deg USING (id)),
+cen AS (SELECT nd.*,
+  CASE WHEN (SELECT n FROM nn) <= 1 THEN 1.0::DOUBLE ELSE """ + rr("degree", "(SELECT n FROM nn) - 1", 4) + """ END AS centrality,
+  CASE WHEN (SELECT n FROM nn) <= 1 THEN 62.0::DOUBLE ELSE """ + rr("18 * ((SELECT n FROM nn) - 1) + 44 * degree", "(SELECT n FROM nn) - 1", 1) + """ END AS radius
+  FROM nd),
+mw AS (SELECT coalesce(max(weight), 1)::BIGINT AS max_weight FROM edges),
+wid AS (SELECT edges.*, """ + rr("80 * (SELECT max_weight FROM mw) + 500 * coalesce(weight, 1)", "(SELECT max_weight FROM mw) * 100", 2) + """ AS width FROM edges)"""
+
+
+def graph_ctes(*extra: str) -> str:
+    """WITH … profile, pairs, nodes, edges (+ degree family when asked)."""
+    base = ctes("profile", "pairs", *extra)
+    out = base + ",\n" + nodes_cte() + ",\n" + edges_cte()
+    return out
+
+
+def plain(x: str) -> str:
+    return f"replace(replace(replace({x}, '<br>', chr(10)), '<b>', ''), '</b>', '')"
