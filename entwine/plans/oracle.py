@@ -171,3 +171,60 @@ ORACLE["ego_network"] = f"""{GR}
 SELECT id AS center, id AS member, NULL::VARCHAR AS relationship, NULL::BIGINT AS weight, true AS is_center FROM nodes
 UNION ALL SELECT src, dst, relationship, weight, false FROM edges
 UNION ALL SELECT dst, src, relationship, weight, false FROM edges"""
+
+
+# ---------------------------------------------------------------- 2.8 incremental update
+from .sqlparts import TYPE_LABEL, _case, edges_cte, nodes_cte, pairs_cte, profile_cte  # noqa: E402
+
+_UNITS = {r.name: r.unit for r in SPEC.relations}
+_TOPK = [r.name for r in SPEC.relations if r.top_k]
+_TOPK_IN = ", ".join(f"'{x}'" for x in _TOPK)
+BATCH = (f"batch AS (SELECT * FROM clean ORDER BY date_of_admission DESC, {LINE_KEY_DESC} "
+         f"LIMIT {SPEC.update_batch_size})")
+UPD = ",\n".join([ctes("profile", "pairs"), nodes_cte("profile", "nodes0"), edges_cte("pairs", "edges0"), BATCH,
+                  profile_cte("batch", "profile_b"), pairs_cte("batch", "pairs_b"),
+                  nodes_cte("profile_b", "nodes_b"), edges_cte("pairs_b", "edges_b")])
+
+
+def _up_nodes(base: str, batch: str) -> str:
+    color = _case("coalesce(b.node_type, x.node_type)", SPEC.colors)
+    tl = _case("coalesce(b.node_type, x.node_type)", TYPE_LABEL)
+    cnt = "(coalesce(b.count, 0) + coalesce(x.count, 0))"
+    return f"""SELECT coalesce(b.id, x.id) AS id, coalesce(b.label, x.label) AS label,
+  coalesce(b.node_type, x.node_type) AS node_type, coalesce(b.color, {color}, '{SPEC.default_color}') AS color,
+  {cnt}::BIGINT AS count,
+  CASE WHEN x.id IS NULL THEN b.title ELSE '<b>' || coalesce(b.label, x.label) || '</b><br>Type: ' || {tl}
+       || '<br>Patients: ' || {fmt_int(cnt)} END AS title,
+  CASE WHEN b.id IS NULL THEN 'new' WHEN x.id IS NOT NULL THEN 'updated' ELSE 'unchanged' END AS status
+FROM {base} b FULL OUTER JOIN {batch} x ON b.id = x.id"""
+
+
+def _up_edges(base: str, batch: str) -> str:
+    rel = "coalesce(b.relationship, x.relationship)"
+    w = "(coalesce(b.weight, 0) + coalesce(x.weight, 0))"
+    unit = _case(rel, _UNITS, "'patients'")
+    return f"""SELECT coalesce(b.src, x.src) AS src, coalesce(b.dst, x.dst) AS dst, {rel} AS relationship,
+  {w}::BIGINT AS weight,
+  CASE WHEN x.src IS NULL THEN b.title ELSE {rel} || '<br>' || {fmt_int(w)} || ' ' || {unit} END AS title,
+  CASE WHEN b.src IS NULL THEN 'new' WHEN x.src IS NOT NULL THEN 'updated' ELSE 'unchanged' END AS status
+FROM {base} b FULL OUTER JOIN {batch} x ON b.src = x.src AND b.dst = x.dst"""
+
+
+ORACLE["update_batch_nodes"] = f"{UPD} SELECT entity_type, entity, patient_count FROM profile_b"
+ORACLE["update_upsert_nodes"] = f"{UPD} {_up_nodes('nodes0', 'nodes_b')}"
+ORACLE["update_upsert_edges"] = (f"{UPD}, eb AS (SELECT * FROM edges_b WHERE relationship NOT IN ({_TOPK_IN})) "
+                                 f"{_up_edges('edges0', 'eb')}")
+ORACLE["update_upsert_topk"] = (f"{UPD}, e0 AS (SELECT * FROM edges0 WHERE relationship IN ({_TOPK_IN})), "
+                                f"eb AS (SELECT * FROM edges_b WHERE relationship IN ({_TOPK_IN})) "
+                                f"{_up_edges('e0', 'eb')}")
+UPD2 = f"{UPD},\nnodes AS ({_up_nodes('nodes0', 'nodes_b')}),\nedges AS ({_up_edges('edges0', 'edges_b')})"
+ORACLE["update_report"] = f"""{UPD2}
+SELECT 'nodes' AS kind, count(*) FILTER (WHERE status = 'new') AS n_new,
+  count(*) FILTER (WHERE status = 'updated') AS n_updated, count(*) AS n_total FROM nodes
+UNION ALL
+SELECT 'edges', count(*) FILTER (WHERE status = 'new'), count(*) FILTER (WHERE status = 'updated'), count(*) FROM edges"""
+ORACLE["graph_update"] = (f"{UPD2},\n{degree_ctes()} SELECT id, label AS node, coalesce(node_type, 'unknown') AS node_type, "
+                          f"degree, centrality, coalesce(count, 0)::BIGINT AS patient_count FROM cen")
+ORACLE["stream_graph_update"] = ("SELECT 'user:' || user_id::VARCHAR AS src, 'event_type:' || event_type AS dst, "
+                                 "'PERFORMED' AS relationship, count(*) AS weight FROM events "
+                                 "WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY ALL")

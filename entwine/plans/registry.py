@@ -372,3 +372,73 @@ def graph_payload_links(c: Ctx) -> DataFrame:
 @reg("ego_network")
 def ego_network(c: Ctx) -> DataFrame:
     return G.ego_network(c.nodes, c.edges)
+
+
+# ---------------------------------------------------------------- 2.8 incremental update
+from ..operators import update as U  # noqa: E402
+
+
+def _batch(c: Ctx) -> DataFrame:
+    return U.recent_batch(c.clean, c.spec.update_batch_size)
+
+
+def _batch_nodes(c: Ctx) -> DataFrame:
+    b = P.entity_profile(_batch(c), c.spec)
+    return b.select(G.node_id("entity_type", "entity").alias("id"), F.col("entity").alias("label"),
+                    F.col("entity_type").alias("node_type"), F.col("patient_count").alias("n"))
+
+
+def _batch_edges(c: Ctx, topk: bool | None) -> DataFrame:
+    pairs = P.pair_counts(_batch(c), c.spec)
+    e = G.relation_edges(pairs, c.spec)
+    tk = [r.name for r in c.spec.relations if r.top_k]
+    if topk is True:
+        e = e.where(F.col("relationship").isin(tk))
+    elif topk is False:
+        e = e.where(~F.col("relationship").isin(tk))
+    return e.select("src", "dst", "relationship", F.col("weight").alias("n"))
+
+
+@reg("update_batch_nodes")
+def update_batch_nodes(c: Ctx) -> DataFrame:
+    return P.entity_profile(_batch(c), c.spec).select("entity_type", "entity", "patient_count")
+
+
+@reg("update_upsert_nodes")
+def update_upsert_nodes(c: Ctx) -> DataFrame:
+    return U.upsert_nodes(c.nodes, _batch_nodes(c), c.spec)
+
+
+@reg("update_upsert_edges")
+def update_upsert_edges(c: Ctx) -> DataFrame:
+    return U.upsert_edges(c.edges, _batch_edges(c, topk=False), c.spec)
+
+
+@reg("update_upsert_topk")
+def update_upsert_topk(c: Ctx) -> DataFrame:
+    tk = [r.name for r in c.spec.relations if r.top_k]
+    base = c.edges.where(F.col("relationship").isin(tk))
+    return U.upsert_edges(base, _batch_edges(c, topk=True), c.spec)
+
+
+def _updated(c: Ctx) -> tuple[DataFrame, DataFrame]:
+    nodes = U.upsert_nodes(c.nodes, _batch_nodes(c), c.spec)
+    edges = U.upsert_edges(c.edges, _batch_edges(c, topk=None), c.spec)
+    return nodes, edges
+
+
+@reg("update_report")
+def update_report(c: Ctx) -> DataFrame:
+    return U.update_report(*_updated(c))
+
+
+@reg("graph_update")
+def graph_update(c: Ctx) -> DataFrame:
+    nodes, edges = _updated(c)
+    return G.graph_metadata(nodes.drop("status"), edges.drop("status"))
+
+
+@reg("stream_graph_update")
+def stream_graph_update(c: Ctx) -> DataFrame:
+    from ..streaming.graph_stream import current_graph, run_event_stream
+    return current_graph(c.spark, run_event_stream(c.spark, c.sf_dir))

@@ -63,33 +63,33 @@ SOURCE_DECIMALS = {"age": 0, "billing": 2, "stay": 0}
 METRIC_COL = SPEC.metric_columns
 
 
-def node_entries() -> str:
+def node_entries(src: str = "clean") -> str:
     """UNION ALL of (entity_type, entity, metric units) per node attribute."""
     parts = []
     for a in SPEC.node_attrs:
         mcols = ", ".join(f"{units(METRIC_COL[m], SOURCE_DECIMALS[m])} AS u_{m}" for m in ("age", "billing", "stay"))
-        parts.append(f"SELECT '{a.node_type}' AS entity_type, {a.column} AS entity, {mcols} FROM clean "
+        parts.append(f"SELECT '{a.node_type}' AS entity_type, {a.column} AS entity, {mcols} FROM {src} "
                      f"WHERE {a.column} IS NOT NULL")
     return "\nUNION ALL\n".join(parts)
 
 
-def profile_cte() -> str:
+def profile_cte(src: str = "clean", name: str = "profile") -> str:
     avgs = []
     for m in ("age", "billing", "stay"):
         types = ", ".join(f"'{a.node_type}'" for a in SPEC.node_attrs if m in a.metrics)
         avgs.append(f"CASE WHEN entity_type IN ({types}) THEN "
                     f"{rr(f'sum(u_{m})', 'count(*)', SPEC.metric_scale[m], SOURCE_DECIMALS[m])} END AS avg_{m}")
-    return (f"profile AS (SELECT entity_type, entity, count(*) AS patient_count, {', '.join(avgs)}\n"
-            f"FROM ({node_entries()}) GROUP BY entity_type, entity)")
+    return (f"{name} AS (SELECT entity_type, entity, count(*) AS patient_count, {', '.join(avgs)}\n"
+            f"FROM ({node_entries(src)}) GROUP BY entity_type, entity)")
 
 
-def pairs_cte() -> str:
+def pairs_cte(src: str = "clean", name: str = "pairs") -> str:
     parts = []
     for x, y in SPEC.pairs():
         cx, cy = SPEC.attr(x).column, SPEC.attr(y).column
-        parts.append(f"SELECT '{x}|{y}' AS pair, {cx} AS a, {cy} AS b, count(*) AS n FROM clean "
+        parts.append(f"SELECT '{x}|{y}' AS pair, {cx} AS a, {cy} AS b, count(*) AS n FROM {src} "
                      f"WHERE {cx} IS NOT NULL AND {cy} IS NOT NULL GROUP BY ALL")
-    return "pairs AS (" + "\nUNION ALL\n".join(parts) + ")"
+    return f"{name} AS (" + "\nUNION ALL\n".join(parts) + ")"
 
 
 def dist_cte() -> str:
@@ -136,10 +136,10 @@ def _case(col: str, mapping: dict, default: str = "NULL") -> str:
 TYPE_LABEL = {a.node_type: a.type_label for a in SPEC.node_attrs}
 
 
-def nodes_cte(src: str = "profile") -> str:
+def nodes_cte(src: str = "profile", name: str = "nodes") -> str:
     color = _case("entity_type", SPEC.colors, f"'{SPEC.default_color}'")
     tl = _case("entity_type", TYPE_LABEL)
-    return (f"nodes AS (SELECT entity_type || ':' || entity AS id, entity AS label, entity_type AS node_type, "
+    return (f"{name} AS (SELECT entity_type || ':' || entity AS id, entity AS label, entity_type AS node_type, "
             f"{color} AS color, patient_count AS count, "
             f"'<b>' || entity || '</b><br>Type: ' || {tl} || '<br>Patients: ' || {fmt_int('patient_count')} AS title "
             f"FROM {src})")
@@ -159,8 +159,8 @@ def relation_select(rel, src: str = "pairs") -> str:
     return q
 
 
-def edges_cte(src: str = "pairs") -> str:
-    return "edges AS (" + "\nUNION ALL\n".join(f"({relation_select(r, src)})" for r in SPEC.relations) + ")"
+def edges_cte(src: str = "pairs", name: str = "edges") -> str:
+    return f"{name} AS (" + "\nUNION ALL\n".join(f"({relation_select(r, src)})" for r in SPEC.relations) + ")"
 
 
 def degree_ctes() -> str:
