@@ -27,8 +27,11 @@ def _units(spec: GraphSpec) -> dict[str, Column]:
     return {m: to_units(spec.metric_columns[m], SOURCE_DECIMALS[m]) for m in METRICS}
 
 
+ALL = "*"      # marker for the single whole-table row (n = record count)
+
+
 def entity_facts(clean: DataFrame, spec: GraphSpec = HEALTHCARE,
-                 nodes: bool = True, pairs: bool = True) -> DataFrame:
+                 nodes: bool = True, pairs: bool = True, total: bool = False) -> DataFrame:
     """One aggregate holding both entity rows and attribute-pair rows.
 
     Schema: ``pair`` (``node`` or ``"<a>|<b>"``), ``a``, ``b`` (null for nodes),
@@ -49,10 +52,14 @@ def entity_facts(clean: DataFrame, spec: GraphSpec = HEALTHCARE,
             entries.append(F.struct(F.lit(f"{x}|{y}").alias("pair"), F.lit(f"{x}|{y}").alias("entity_type"),
                                     F.col(ax.column).alias("a"), F.col(ay.column).alias("b"),
                                     *[F.lit(None).cast("decimal(38,0)").alias(f"u_{m}") for m in METRICS]))
+    if total:
+        entries.append(F.struct(F.lit(ALL).alias("pair"), F.lit(ALL).alias("entity_type"),
+                                F.lit(ALL).alias("a"), F.lit(None).cast("string").alias("b"),
+                                *[F.lit(None).cast("decimal(38,0)").alias(f"u_{m}") for m in METRICS]))
     cols = sorted({a.column for a in spec.attributes} | set(spec.metric_columns.values()))
     e = (clean.select(*cols)
               .select(F.inline(F.array(*entries)))
-              .where(F.col("a").isNotNull() & ((F.col("pair") == NODE) | F.col("b").isNotNull())))
+              .where(F.col("a").isNotNull() & (F.col("pair").isin(NODE, ALL) | F.col("b").isNotNull())))
     return (e.groupBy("pair", "entity_type", "a", "b")
              .agg(F.count(F.lit(1)).alias("n"),
                   *[F.sum(f"u_{m}").alias(f"s_{m}") for m in METRICS]))

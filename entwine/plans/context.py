@@ -31,13 +31,25 @@ class Ctx:
     def clean(self) -> DataFrame:
         return C.clean_visits(self.raw, self.spec)
 
+    @cached_property
+    def facts(self) -> DataFrame:
+        """Entity rows, pair rows and the record count from ONE scan of the fact
+        table and one hash aggregate. The result is bounded by the number of
+        entities and value pairs (not by rows), so it is persisted and every
+        downstream frame of this context reads it instead of rescanning; a lost
+        block is recomputed from lineage."""
+        from pyspark import StorageLevel
+        return P.entity_facts(self.clean, self.spec, nodes=True, pairs=True, total=True) \
+            .persist(StorageLevel.MEMORY_AND_DISK)
+
     @cached_property
     def profile(self) -> DataFrame:
-        return P.entity_profile(self.clean, self.spec)
+        return P.profile_from_facts(self.facts, self.spec)
 
     @cached_property
     def pairs(self) -> DataFrame:
-        return P.pair_counts(self.clean, self.spec)
+        from pyspark.sql import functions as F
+        return self.facts.where(~F.col("pair").isin(P.NODE, P.ALL)).select("pair", "a", "b", "n")
 
     @cached_property
     def dist(self) -> DataFrame:
@@ -51,7 +63,7 @@ class Ctx:
     def total(self) -> DataFrame:
         """One-row frame with the record count."""
         from pyspark.sql import functions as F
-        return self.clean.agg(F.count(F.lit(1)).alias("total"))
+        return self.facts.where(F.col("pair") == P.ALL).select(F.col("n").alias("total"))
 
     @cached_property
     def nodes(self) -> DataFrame:
@@ -62,3 +74,8 @@ class Ctx:
     def edges(self) -> DataFrame:
         from ..operators.graph import relation_edges
         return relation_edges(self.pairs, self.spec)
+
+    @cached_property
+    def documents(self) -> DataFrame:
+        from ..operators.documents import rag_documents
+        return rag_documents(self.profile, self.texts, self.dist, self.total.scalar(), self.spec)

@@ -228,3 +228,71 @@ ORACLE["graph_update"] = (f"{UPD2},\n{degree_ctes()} SELECT id, label AS node, c
 ORACLE["stream_graph_update"] = ("SELECT 'user:' || user_id::VARCHAR AS src, 'event_type:' || event_type AS dst, "
                                  "'PERFORMED' AS relationship, count(*) AS weight FROM events "
                                  "WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY ALL")
+
+
+# ---------------------------------------------------------------- 2.10 documents
+from ..operators.documents import (COST_ID, COST_NAME, COST_TEMPLATE, CONDITION_TEMPLATE,  # noqa: E402
+                                   EMERGENCY_ID, EMERGENCY_NAME, EMERGENCY_TEMPLATE, INSURER_TEMPLATE,
+                                   MEDICATION_TEMPLATE)
+from .sqlparts import sql_render  # noqa: E402
+
+_DM = ("dm AS (SELECT entity_type, entity, " + ", ".join(
+    f"max(CASE WHEN dist_column = '{a.key}' THEN {f} END) AS {p}_{a.key}"
+    for a in SPEC.attributes for f, p in (("top3_patients", "top"), ("top3", "top3"), ("breakdown", "all")))
+    + " FROM texts GROUP BY ALL)")
+_DOC_PARTS = {"name": "p.entity", "count": fmt_int("p.patient_count"),
+              "pct": f"({rr('p.patient_count * 100', '(SELECT count(*) FROM clean)', 1)})::DECIMAL(38,1)::VARCHAR",
+              "avg_age": "p.avg_age::VARCHAR", "avg_stay": "p.avg_stay::VARCHAR",
+              "billing": "'$' || " + fmt_fixed("p.avg_billing", 2)}
+for _a in SPEC.attributes:
+    for _p in ("top", "top3", "all"):
+        _DOC_PARTS[f"{_p}_{_a.key}"] = f"coalesce(dm.{_p}_{_a.key}, '')"
+
+
+def _doc_sql(node_type: str, template: str) -> str:
+    return (f"SELECT '{node_type}_' || replace(lower(p.entity), ' ', '_') AS id, "
+            f"{sql_render(template, _DOC_PARTS)} AS text, '{node_type}' AS entity_type, p.entity AS entity_name "
+            f"FROM profile p LEFT JOIN dm ON dm.entity_type = p.entity_type AND dm.entity = p.entity "
+            f"WHERE p.entity_type = '{node_type}'")
+
+
+DOCS = ctes("profile", "texts") + ",\n" + _DM
+_COND_DOCS = _doc_sql("condition", CONDITION_TEMPLATE)
+_MED_DOCS = _doc_sql("medication", MEDICATION_TEMPLATE)
+_INS_DOCS = _doc_sql("insurer", INSURER_TEMPLATE)
+_RANKS = f"""rb AS (SELECT entity, avg_billing, row_number() OVER (ORDER BY avg_billing DESC, entity) AS pos,
+   count(*) OVER () AS cnt FROM profile WHERE entity_type = 'condition'),
+rs AS (SELECT entity, avg_stay, row_number() OVER (ORDER BY avg_stay DESC, entity) AS pos,
+   count(*) OVER () AS cnt FROM profile WHERE entity_type = 'condition'),
+re AS (SELECT p.entity, {rr('coalesce(d.n, 0) * 100', 'p.patient_count', 1)} AS rate,
+   row_number() OVER (ORDER BY coalesce(d.n, 0) / p.patient_count DESC, p.entity) AS pos, count(*) OVER () AS cnt
+   FROM profile p LEFT JOIN dist d ON d.entity_type = 'condition' AND d.entity = p.entity
+    AND d.dist_column = 'admission' AND d.value = '{SPEC.emergency_value}'
+   WHERE p.entity_type = 'condition')"""
+
+
+def _agg(src: str, item: str, which: str) -> str:
+    cond = "pos <= 3" if which == "top" else "pos > cnt - 3"
+    return f"(SELECT string_agg({item}, ', ' ORDER BY pos) FROM {src} WHERE {cond})"
+
+
+_BILL_ITEM = "entity || ' ($' || " + fmt_fixed(hu(units("avg_billing", 2), "100") + "::DOUBLE", 0) + " || ')'"
+_STAY_ITEM = "entity || ' (' || avg_stay::VARCHAR || ' days)'"
+_RATE_ITEM = "entity || ' (' || rate::DECIMAL(38,1)::VARCHAR || '%)'"
+_COST_DOC = (f"SELECT '{COST_ID}' AS id, " + sql_render(COST_TEMPLATE, {
+    "top_billing": _agg("rb", _BILL_ITEM, "top"), "bottom_billing": _agg("rb", _BILL_ITEM, "bottom"),
+    "top_stay": _agg("rs", _STAY_ITEM, "top"), "bottom_stay": _agg("rs", _STAY_ITEM, "bottom")})
+    + f" AS text, 'insight' AS entity_type, '{COST_NAME}' AS entity_name")
+_EMG_DOC = (f"SELECT '{EMERGENCY_ID}' AS id, " + sql_render(EMERGENCY_TEMPLATE, {
+    "top_rate": _agg("re", _RATE_ITEM, "top"), "bottom_rate": _agg("re", _RATE_ITEM, "bottom")})
+    + f" AS text, 'insight' AS entity_type, '{EMERGENCY_NAME}' AS entity_name")
+DOCS_ALL = ctes("profile", "texts") + ",\n" + _DM + ",\n" + _RANKS + ",\nrag AS (" + " UNION ALL ".join(
+    f"({q})" for q in (_COND_DOCS, _MED_DOCS, _INS_DOCS, _COST_DOC, _EMG_DOC)) + ")"
+
+ORACLE["doc_conditions"] = f"{DOCS} {_COND_DOCS}"
+ORACLE["doc_medications"] = f"{DOCS} {_MED_DOCS}"
+ORACLE["doc_insurers"] = f"{DOCS} {_INS_DOCS}"
+ORACLE["doc_insight_cost"] = f"{DOCS_ALL} {_COST_DOC}"
+ORACLE["doc_insight_emergency"] = f"{DOCS_ALL} {_EMG_DOC}"
+ORACLE["rag_documents"] = f"{DOCS_ALL} SELECT * FROM rag"
+ORACLE["documents_union"] = f"{DOCS_ALL} SELECT id, entity_type, entity_name, length(text)::BIGINT AS n_chars FROM rag"

@@ -442,3 +442,38 @@ def graph_update(c: Ctx) -> DataFrame:
 def stream_graph_update(c: Ctx) -> DataFrame:
     from ..streaming.graph_stream import current_graph, run_event_stream
     return current_graph(c.spark, run_event_stream(c.spark, c.sf_dir))
+
+
+# ---------------------------------------------------------------- 2.10 documents
+from ..operators import documents as D  # noqa: E402
+
+
+def _doc(node_type: str):
+    def fn(c: Ctx) -> DataFrame:
+        return D.entity_documents(c.profile, c.texts, c.total.scalar(), node_type, c.spec)
+    return fn
+
+
+for _k, _t in [("doc_conditions", "condition"), ("doc_medications", "medication"), ("doc_insurers", "insurer")]:
+    reg(_k)(_doc(_t))
+
+
+@reg("doc_insight_cost")
+def doc_insight_cost(c: Ctx) -> DataFrame:
+    return D.cost_insight(c.profile, c.spec)
+
+
+@reg("doc_insight_emergency")
+def doc_insight_emergency(c: Ctx) -> DataFrame:
+    return D.emergency_insight(c.profile, c.dist, c.spec)
+
+
+@reg("rag_documents")
+def rag_documents(c: Ctx) -> DataFrame:
+    return c.documents
+
+
+@reg("documents_union")
+def documents_union(c: Ctx) -> DataFrame:
+    return c.documents.select("id", "entity_type", "entity_name",
+                              F.length("text").cast("long").alias("n_chars"))

@@ -184,3 +184,16 @@ def graph_ctes(*extra: str) -> str:
 
 def plain(x: str) -> str:
     return f"replace(replace(replace({x}, '<br>', chr(10)), '<b>', ''), '</b>', '')"
+
+
+def sql_render(template: str, parts: dict[str, str]) -> str:
+    """A fixed template as a DuckDB ``||`` chain."""
+    import string
+
+    out = []
+    for lit, field, _, _ in string.Formatter().parse(template):
+        if lit:
+            out.append("'" + lit.replace("'", "''").replace("\n", "' || chr(10) || '") + "'")
+        if field is not None:
+            out.append(f"({parts[field]})")
+    return " || ".join(out)
