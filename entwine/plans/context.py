@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import clean as C
 from ..operators import profile as P
 from ..sources.tables import raw_visits, read_table
+from ..session import cut_lineage
 from ..spec import GraphSpec, HEALTHCARE
 
 
@@ -38,9 +39,7 @@ class Ctx:
         entities and value pairs (not by rows), so it is persisted and every
         downstream frame of this context reads it instead of rescanning; a lost
         block is recomputed from lineage."""
-        from pyspark import StorageLevel
-        return P.entity_facts(self.clean, self.spec, nodes=True, pairs=True, total=True) \
-            .persist(StorageLevel.MEMORY_AND_DISK)
+        return cut_lineage(P.entity_facts(self.clean, self.spec, nodes=True, pairs=True, total=True))
 
     @cached_property
     def profile(self) -> DataFrame:
@@ -78,4 +77,46 @@ class Ctx:
     @cached_property
     def documents(self) -> DataFrame:
         from ..operators.documents import rag_documents
-        return rag_documents(self.profile, self.texts, self.dist, self.total.scalar(), self.spec)
+        # One document per entity of three types plus two insights: bounded by the
+        # entity count, reused by every retrieval step, so persisted.
+        return cut_lineage(rag_documents(self.profile, self.texts, self.dist, self.total.scalar(), self.spec))
+
+    # ------------------------------------------------------------ retrieval inputs
+    @cached_property
+    def questions(self) -> DataFrame:
+        from ..operators.requests import questions
+        return questions(self.table("conversations"))
+
+    @cached_property
+    def q_post(self) -> DataFrame:
+        from ..operators.vectors import postings
+        return postings(self.questions, ["qid"], "question")
+
+    @cached_property
+    def q_norm(self) -> DataFrame:
+        from ..operators.vectors import norms
+        return norms(self.questions, ["qid"], self.q_post)
+
+    @cached_property
+    def d_post(self) -> DataFrame:
+        from ..operators.vectors import postings
+        return cut_lineage(postings(self.documents, ["id"], "text"))
+
+    @cached_property
+    def d_norm(self) -> DataFrame:
+        from ..operators.vectors import norms
+        return cut_lineage(norms(self.documents, ["id"], self.d_post))
+
+    @cached_property
+    def hits(self) -> DataFrame:
+        from ..operators.vectors import topk
+        return topk(self.q_post, self.q_norm, "qid", self.d_post, self.d_norm, "id", 4) \
+            .withColumnRenamed("id", "doc_id")
+
+    @cached_property
+    def contexts(self) -> DataFrame:
+        """entity_name, resolved_id, context for every entity a document names."""
+        from pyspark.sql import functions as F
+        from ..operators.retrieve import graph_context
+        names = self.documents.select("entity_name").where(F.col("entity_name").isNotNull()).distinct()
+        return cut_lineage(graph_context(names, "entity_name", self.nodes, self.edges, self.spec))

@@ -296,3 +296,154 @@ ORACLE["doc_insight_cost"] = f"{DOCS_ALL} {_COST_DOC}"
 ORACLE["doc_insight_emergency"] = f"{DOCS_ALL} {_EMG_DOC}"
 ORACLE["rag_documents"] = f"{DOCS_ALL} SELECT * FROM rag"
 ORACLE["documents_union"] = f"{DOCS_ALL} SELECT id, entity_type, entity_name, length(text)::BIGINT AS n_chars FROM rag"
+
+
+# ---------------------------------------------------------------- 2.11 embedding and vector search
+from ..operators.requests import CONTEXT_TOOL, DEFAULT_N_RESULTS, SEARCH_TOOL, load_template  # noqa: E402
+from ..operators.retrieve import SECTION_DIVIDER, UNKNOWN_ENTITY, UNKNOWN_TOOL  # noqa: E402
+from ..operators.vectors import DIM, EMBEDDER_NAME, TOKEN_PATTERN  # noqa: E402
+
+
+def _post(src: str, key: str, text: str) -> str:
+    return (f"SELECT {key}, (('0x' || substr(md5(tok), 1, 8))::BIGINT % {DIM}) AS bucket, count(*) AS n "
+            f"FROM (SELECT {key}, unnest(regexp_extract_all(lower({text}), '{TOKEN_PATTERN}')) AS tok FROM {src}) "
+            f"GROUP BY ALL")
+
+
+_QS = "qs AS (SELECT conv_id * 1000 + turn AS qid, conv_id, turn, text AS question FROM conversations WHERE role = 'user')"
+_DIST = ("CASE WHEN qq = 0 AND dd = 0 THEN 0.0::DOUBLE WHEN qq = 0 OR dd = 0 THEN 1.0::DOUBLE "
+         "ELSE 2.0::DOUBLE - 2.0::DOUBLE * dot / sqrt((qq * dd)::DOUBLE) END")
+
+
+def _topk_ctes(q_src: str, q_key: str, q_text: str, k: str) -> str:
+    return f"""qpost AS ({_post(q_src, q_key, q_text)}),
+dpost AS ({_post('rag', 'id', 'text')}),
+qn AS (SELECT s.{q_key} AS qk, coalesce(sum(p.n * p.n), 0)::BIGINT AS qq FROM {q_src} s LEFT JOIN qpost p USING ({q_key}) GROUP BY ALL),
+dn AS (SELECT r.id, coalesce(sum(p.n * p.n), 0)::BIGINT AS dd FROM rag r LEFT JOIN dpost p USING (id) GROUP BY ALL),
+dots AS (SELECT q.{q_key} AS qk, d.id, sum(q.n * d.n) AS dot FROM qpost q JOIN dpost d USING (bucket) GROUP BY ALL),
+scored AS (SELECT qn.qk, dn.id, coalesce(dots.dot, 0) AS dot, qq, dd FROM qn CROSS JOIN dn
+           LEFT JOIN dots ON dots.qk = qn.qk AND dots.id = dn.id),
+hits AS (SELECT qk AS {q_key}, row_number() OVER (PARTITION BY qk ORDER BY {_DIST}, id) AS rank, id AS doc_id,
+         {_DIST} AS distance FROM scored QUALIFY rank <= {k})"""
+
+
+RET = DOCS_ALL + ",\n" + _QS + ",\n" + _topk_ctes("qs", "qid", "question", "4")
+ORACLE["embed_documents"] = f"{_post('documents', 'doc_id', 'text')}"
+ORACLE["embed_query"] = f"WITH {_QS} {_post('qs', 'qid', 'question')}"
+ORACLE["embed_dimension_check"] = f"SELECT count(*) AS n_vectors, {DIM}::BIGINT AS min_dim, {DIM}::BIGINT AS max_dim FROM documents"
+ORACLE["vector_topk"] = f"{RET} SELECT * FROM hits"
+ORACLE["vector_lookup_metadata"] = (f"{RET} SELECT qid, rank, doc_id, coalesce(entity_name, '{UNKNOWN_ENTITY}') AS entity, "
+                                    f"length(text)::BIGINT AS n_chars FROM hits LEFT JOIN rag ON rag.id = hits.doc_id")
+
+# ---------------------------------------------------------------- 2.12 graph-enriched retrieval
+
+
+def _num_case(col: str, mapping: dict, default: int) -> str:
+    whens = " ".join(f"WHEN '{k}' THEN {v}" for k, v in mapping.items())
+    return f"(CASE {col} {whens} ELSE {default} END)"
+
+
+_TYPE_RANK = _num_case("node_type", {a.node_type: i for i, a in enumerate(SPEC.node_attrs)}, len(SPEC.node_attrs))
+_REL_ORDER = _num_case("relationship", {r.name: i for i, r in enumerate(SPEC.relations)}, len(SPEC.relations))
+GRAPH_RET = f"""nodes_r AS (SELECT id, label, {_TYPE_RANK}::INT AS type_rank FROM nodes),
+nb AS (SELECT src AS id, dst AS other, relationship, weight FROM edges UNION ALL SELECT dst, src, relationship, weight FROM edges),
+nbl AS (SELECT nb.id, nb.other AS neighbour_id, coalesce(n.label, nb.other) AS neighbour,
+        coalesce(relationship, '{SPEC.default_relationship}') AS relationship, coalesce(weight, 0)::BIGINT AS weight
+        FROM nb LEFT JOIN nodes n ON n.id = nb.other),
+lines AS (SELECT id, relationship, count(*) AS n_neighbours, {_REL_ORDER}::INT AS rel_order,
+          '  ' || relationship || ': ' || string_agg(neighbour || ' (' || {fmt_int('weight')} || ' patients)', ', '
+          ORDER BY weight DESC, neighbour) AS line FROM nbl GROUP BY id, relationship),
+ctx AS (SELECT n.id, CASE WHEN count(l.line) > 0
+          THEN 'Graph neighbours of ''' || n.label || ''':' || chr(10) || string_agg(l.line, chr(10) ORDER BY l.rel_order, l.relationship, l.line)
+          ELSE 'Graph neighbours of ''' || n.label || ''':' END AS context
+        FROM nodes n LEFT JOIN lines l USING (id) GROUP BY n.id, n.label)"""
+
+
+def _resolve(names: str, name: str, keys: str) -> str:
+    return (f"SELECT {keys}, n.id AS resolved_id, n.label AS resolved_label FROM {names} s LEFT JOIN nodes_r n "
+            f"ON n.label = s.{name} OR (length(s.{name}) > 0 AND contains(lower(n.label), lower(s.{name}))) "
+            f"QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY CASE WHEN n.label = s.{name} THEN 0 ELSE 1 END, "
+            f"n.type_rank, n.label) = 1")
+
+
+def _context(names: str, name: str, keys: str) -> str:
+    return (f"SELECT r.*, CASE WHEN r.resolved_id IS NULL THEN 'Entity ''' || r.{name} || ''' not found in graph.' "
+            f"ELSE ctx.context END AS context FROM ({_resolve(names, name, keys)}) r LEFT JOIN ctx ON ctx.id = r.resolved_id")
+
+
+GRET = (RET + ",\n" + nodes_cte("profile") + ",\n" + edges_cte("pairs") + ",\n" + GRAPH_RET + ",\n"
+        + "dnames AS (SELECT DISTINCT entity_name FROM rag WHERE entity_name IS NOT NULL),\n"
+        + f"ctxs AS ({_context('dnames', 'entity_name', 's.entity_name')})")
+# the ctes() helper already defines profile/texts; pairs/dist are needed for edges
+GRET = GRET.replace(ctes("profile", "texts"), ctes("profile", "texts"), 1)
+_SECTION = ("'[' || coalesce(rag.entity_name, 'unknown') || ']' || chr(10) || coalesce(rag.text, '') || "
+            "CASE WHEN coalesce(rag.entity_name, 'unknown') <> 'unknown' AND coalesce(ctxs.context, '') <> '' "
+            "THEN chr(10) || chr(10) || ctxs.context ELSE '' END")
+SECS = (f"secs AS (SELECT hits.qid, hits.rank, hits.doc_id, coalesce(rag.entity_name, '{UNKNOWN_ENTITY}') AS entity, "
+        f"rag.text, {_SECTION} AS section FROM hits LEFT JOIN rag ON rag.id = hits.doc_id "
+        f"LEFT JOIN ctxs ON ctxs.entity_name = rag.entity_name)")
+_DIV = "'" + SECTION_DIVIDER.replace("\n", "' || chr(10) || '") + "'"
+
+ORACLE["neighbors_1hop"] = f"{GRET} SELECT id, neighbour_id, neighbour, relationship, weight FROM nbl"
+ORACLE["neighbors_by_relation"] = f"{GRET} SELECT id, relationship, n_neighbours, line FROM lines"
+ORACLE["graph_context"] = f"{GRET} SELECT entity_name, resolved_id, context FROM ctxs"
+ORACLE["ops_join_summary_graph"] = (f"{GRET}, dr AS ({_resolve('(SELECT id AS doc_id, entity_name FROM rag)', 'entity_name', 's.doc_id, s.entity_name')}) "
+                                    f"SELECT dr.doc_id, dr.entity_name, dr.resolved_id, nbl.neighbour_id, nbl.relationship, nbl.weight "
+                                    f"FROM dr LEFT JOIN nbl ON nbl.id = dr.resolved_id")
+ORACLE["search_section"] = f"{GRET}, {SECS} SELECT qid, rank, doc_id, entity, section FROM secs"
+ORACLE["graph_search"] = (f"{GRET}, {SECS} SELECT qid, string_agg(section, {_DIV} ORDER BY rank) AS context, "
+                          f"count(*) AS n_hits FROM secs GROUP BY qid")
+ORACLE["plain_search"] = (f"{GRET}, {SECS} SELECT secs.qid, string_agg(text, {_DIV} ORDER BY rank) AS context, "
+                          f"'Context:' || chr(10) || string_agg(text, {_DIV} ORDER BY rank) || chr(10) || chr(10) || "
+                          f"'Question: ' || any_value(qs.question) AS prompt FROM secs JOIN qs USING (qid) GROUP BY secs.qid")
+ORACLE["search_compare"] = (f"{GRET}, {SECS}, agg AS (SELECT qid, count(*) AS n_hits, "
+                            f"length(string_agg(text, {_DIV} ORDER BY rank))::BIGINT AS plain_chars, "
+                            f"length(string_agg(section, {_DIV} ORDER BY rank))::BIGINT AS graph_chars FROM secs GROUP BY qid) "
+                            f"SELECT qid, n_hits, plain_chars, graph_chars, graph_chars - plain_chars AS added_chars FROM agg")
+
+# ---------------------------------------------------------------- 2.13 prompts, tool requests, report
+_msgs = []
+for _i, _m in enumerate(load_template()):
+    _role = "user" if _m["role"] == "human" else _m["role"]
+    _content = "'" + _m["content"].replace("'", "''") + "'"
+    _msgs.append(f"SELECT qid, conv_id, turn, {_i}::BIGINT AS pos, '{_role}' AS role, "
+                 f"replace({_content}, '{{question}}', question) AS content FROM qs")
+ORACLE["prompt_messages"] = f"WITH {_QS} " + " UNION ALL ".join(_msgs)
+
+REQ = f"""req AS (SELECT conv_id AS question_id, turn AS pos,
+   CASE WHEN role = 'user' THEN '{SEARCH_TOOL}' WHEN role = 'assistant' THEN '{CONTEXT_TOOL}' ELSE 'summarize_' || role END AS fn,
+   CASE WHEN role = 'user' THEN text END AS query,
+   CASE WHEN role IN ('user', 'assistant') THEN NULL END::BIGINT AS n_results_raw,
+   CASE WHEN role = 'assistant' THEN regexp_extract(text, '\\p{{L}}+', 0) END AS entity_name
+ FROM conversations),
+preq AS (SELECT question_id, pos, fn, query, coalesce(n_results_raw, {DEFAULT_N_RESULTS})::BIGINT AS n_results, entity_name FROM req)"""
+ORACLE["tool_call_parse"] = f"WITH {REQ} SELECT * FROM preq"
+ORACLE["entity_resolve"] = (f"{GRET}, {REQ} SELECT * FROM ({_resolve('(SELECT * FROM preq WHERE fn = ' + repr(CONTEXT_TOOL) + ')', 'entity_name', 's.question_id, s.pos, s.entity_name')})")
+_ROUTE = f"""sreq AS (SELECT question_id * 1000 + pos AS rid, * FROM preq WHERE fn = '{SEARCH_TOOL}'),
+rqpost AS ({_post('sreq', 'rid', 'query')}),
+rqn AS (SELECT s.rid AS qk, coalesce(sum(p.n * p.n), 0)::BIGINT AS qq FROM sreq s LEFT JOIN rqpost p USING (rid) GROUP BY ALL),
+rdots AS (SELECT q.rid AS qk, d.id, sum(q.n * d.n) AS dot FROM rqpost q JOIN dpost d USING (bucket) GROUP BY ALL),
+rscored AS (SELECT rqn.qk, dn.id, coalesce(rdots.dot, 0) AS dot, qq, dd FROM rqn CROSS JOIN dn
+            LEFT JOIN rdots ON rdots.qk = rqn.qk AND rdots.id = dn.id),
+rhits AS (SELECT qk AS rid, row_number() OVER (PARTITION BY qk ORDER BY {_DIST}, id) AS rank, id AS doc_id FROM rscored),
+rsecs AS (SELECT rhits.rid, rhits.rank, {_SECTION} AS section FROM rhits JOIN sreq USING (rid)
+          LEFT JOIN rag ON rag.id = rhits.doc_id LEFT JOIN ctxs ON ctxs.entity_name = rag.entity_name
+          WHERE rhits.rank <= sreq.n_results),
+routed AS (
+  SELECT sreq.question_id, sreq.pos, sreq.fn, coalesce(string_agg(section, {_DIV} ORDER BY rank), '') AS result
+    FROM sreq LEFT JOIN rsecs USING (rid) GROUP BY sreq.question_id, sreq.pos, sreq.fn
+  UNION ALL
+  SELECT question_id, pos, fn, context FROM ({_context("(SELECT * FROM preq WHERE fn = '" + CONTEXT_TOOL + "')", 'entity_name', 's.question_id, s.pos, s.fn, s.entity_name')})
+  UNION ALL
+  SELECT question_id, pos, fn, '{UNKNOWN_TOOL}' || fn FROM preq WHERE fn NOT IN ('{SEARCH_TOOL}', '{CONTEXT_TOOL}'))"""
+ROUTED = f"{GRET}, {REQ}, {_ROUTE}"
+ORACLE["tool_call_route"] = f"{ROUTED} SELECT * FROM routed"
+ORACLE["tool_call_log"] = (f"{ROUTED} SELECT question_id, count(*) AS n_calls, string_agg(fn, ',' ORDER BY pos) AS tools, "
+                           f"sum(length(result))::BIGINT AS result_chars FROM routed GROUP BY question_id")
+ORACLE["retrieval_report"] = f"""{ROUTED},
+calls AS (SELECT question_id, count(*) AS n_tool_calls, sum(length(result))::BIGINT AS context_chars FROM routed GROUP BY 1),
+fq AS (SELECT conv_id AS question_id, arg_min(question, turn) AS question FROM qs GROUP BY 1)
+SELECT fq.question_id, fq.question, coalesce(n_tool_calls, 0)::BIGINT AS n_tool_calls,
+  coalesce(context_chars, 0)::BIGINT AS context_chars, NULL::VARCHAR AS answer, '{EMBEDDER_NAME}' AS embedding_model,
+  (SELECT count(*) FROM fq) AS questions_answered
+FROM fq LEFT JOIN calls USING (question_id)"""

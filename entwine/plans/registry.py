@@ -477,3 +477,189 @@ def rag_documents(c: Ctx) -> DataFrame:
 def documents_union(c: Ctx) -> DataFrame:
     return c.documents.select("id", "entity_type", "entity_name",
                               F.length("text").cast("long").alias("n_chars"))
+
+
+# ---------------------------------------------------------------- 2.11 embedding and vector search
+from ..operators import requests as RQ  # noqa: E402
+from ..operators import retrieve as RT  # noqa: E402
+from ..operators import vectors as V  # noqa: E402
+
+
+@reg("embed_documents")
+def embed_documents(c: Ctx) -> DataFrame:
+    """Hashed term counts of every text of the ``documents`` table (whole texts)."""
+    return V.postings(c.table("documents"), ["doc_id"], "text")
+
+
+@reg("embed_collection")
+def embed_collection(c: Ctx) -> DataFrame:
+    d = V.dense(c.documents, ["id"], c.d_post)
+    return c.documents.join(d, "id")
+
+
+@reg("embed_dimension_check")
+def embed_dimension_check(c: Ctx) -> DataFrame:
+    docs = c.table("documents")
+    d = V.dense(docs, ["doc_id"], V.postings(docs, ["doc_id"], "text"))
+    return d.agg(F.count(F.lit(1)).alias("n_vectors"),
+                 F.min(F.size("embedding")).cast("long").alias("min_dim"),
+                 F.max(F.size("embedding")).cast("long").alias("max_dim"))
+
+
+@reg("embed_query")
+def embed_query(c: Ctx) -> DataFrame:
+    return c.q_post
+
+
+@reg("vector_topk")
+def vector_topk(c: Ctx) -> DataFrame:
+    return c.hits
+
+
+@reg("vector_topk_ann")
+def vector_topk_ann(c: Ctx) -> DataFrame:
+    q = V.dense(c.questions, ["qid"], c.q_post)
+    d = V.dense(c.documents, ["id"], c.d_post)
+    return V.lsh_topk(q, "qid", d, "id", 4)
+
+
+@reg("vector_lookup_metadata")
+def vector_lookup_metadata(c: Ctx) -> DataFrame:
+    d = c.documents.select(F.col("id").alias("doc_id"), "entity_name", "text")
+    return (c.hits.join(d, "doc_id", "left")
+                  .select("qid", "rank", "doc_id",
+                          F.coalesce(F.col("entity_name"), F.lit(RT.UNKNOWN_ENTITY)).alias("entity"),
+                          F.length("text").cast("long").alias("n_chars")))
+
+
+# ---------------------------------------------------------------- 2.12 graph-enriched retrieval
+@reg("neighbors_1hop")
+def neighbors_1hop(c: Ctx) -> DataFrame:
+    return RT.neighbors(c.nodes, c.edges, c.spec)
+
+
+@reg("neighbors_by_relation")
+def neighbors_by_relation(c: Ctx) -> DataFrame:
+    return RT.by_relation(RT.neighbors(c.nodes, c.edges, c.spec), c.spec).drop("rel_order")
+
+
+def _parsed(c: Ctx) -> DataFrame:
+    return RQ.parse_requests(RQ.tool_requests(c.table("conversations")))
+
+
+@reg("entity_resolve")
+def entity_resolve(c: Ctx) -> DataFrame:
+    names = _parsed(c).where(F.col("fn") == RQ.CONTEXT_TOOL).select("question_id", "pos", "entity_name")
+    return RT.resolve(names, "entity_name", c.nodes, c.spec)
+
+
+@reg("graph_context")
+def graph_context(c: Ctx) -> DataFrame:
+    return c.contexts
+
+
+@reg("ops_join_summary_graph")
+def ops_join_summary_graph(c: Ctx) -> DataFrame:
+    """Document hit → node → incident edges: each document's entity joined to its
+    node and the edges at that node."""
+    d = c.documents.select(F.col("id").alias("doc_id"), "entity_name")
+    r = RT.resolve(d, "entity_name", c.nodes, c.spec)
+    nb = RT.neighbors(c.nodes, c.edges, c.spec).withColumnRenamed("id", "resolved_id")
+    return r.join(nb, "resolved_id", "left").select("doc_id", "entity_name", "resolved_id", "neighbour_id",
+                                                    "relationship", "weight")
+
+
+def _sections(c: Ctx) -> DataFrame:
+    return RT.sections(c.hits, "qid", c.documents, c.contexts.select("entity_name", "context"))
+
+
+@reg("search_section")
+def search_section(c: Ctx) -> DataFrame:
+    return _sections(c).select("qid", "rank", "doc_id", "entity", "section")
+
+
+@reg("graph_search")
+def graph_search(c: Ctx) -> DataFrame:
+    return RT.join_sections(_sections(c), "qid")
+
+
+@reg("plain_search")
+def plain_search(c: Ctx) -> DataFrame:
+    p = RT.join_sections(RT.sections(c.hits, "qid", c.documents, None), "qid")
+    return (p.join(c.questions.select("qid", "question"), "qid")
+             .select("qid", "context", RT.plain_prompt(F.col("context"), F.col("question")).alias("prompt")))
+
+
+@reg("search_compare")
+def search_compare(c: Ctx) -> DataFrame:
+    g = RT.join_sections(_sections(c), "qid", "graph_context")
+    p = RT.join_sections(RT.sections(c.hits, "qid", c.documents, None), "qid", "plain_context").drop("n_hits")
+    return (g.join(p, "qid")
+             .select("qid", "n_hits", F.length("plain_context").cast("long").alias("plain_chars"),
+                     F.length("graph_context").cast("long").alias("graph_chars"),
+                     (F.length("graph_context") - F.length("plain_context")).cast("long").alias("added_chars")))
+
+
+# ---------------------------------------------------------------- 2.13 prompts, tool requests, report
+@reg("prompt_messages")
+def prompt_messages(c: Ctx) -> DataFrame:
+    return RQ.prompt_messages(c.questions, RQ.load_template())
+
+
+@reg("tool_call_parse")
+def tool_call_parse(c: Ctx) -> DataFrame:
+    return _parsed(c)
+
+
+def _routed(c: Ctx) -> DataFrame:
+    req = _parsed(c)
+    search = req.where(F.col("fn") == RQ.SEARCH_TOOL).withColumn("rid", F.col("question_id") * 1000 + F.col("pos"))
+    qp = V.postings(search, ["rid"], "query")
+    qn = V.norms(search, ["rid"], qp)
+    k = search.agg(F.max("n_results")).first()[0] or RQ.DEFAULT_N_RESULTS
+    h = V.topk(qp, qn, "rid", c.d_post, c.d_norm, "id", int(k)).withColumnRenamed("id", "doc_id")
+    h = h.join(search.select("rid", "n_results"), "rid").where(F.col("rank") <= F.col("n_results"))
+    res_search = RT.join_sections(RT.sections(h, "rid", c.documents, c.contexts.select("entity_name", "context")),
+                                  "rid", "result")
+    s = search.join(res_search, "rid", "left").select("question_id", "pos", "fn",
+                                                      F.coalesce("result", F.lit("")).alias("result"))
+    ctx_req = req.where(F.col("fn") == RQ.CONTEXT_TOOL).select("question_id", "pos", "fn", "entity_name")
+    g = RT.graph_context(ctx_req, "entity_name", c.nodes, c.edges, c.spec) \
+        .select("question_id", "pos", "fn", F.col("context").alias("result"))
+    other = req.where(~F.col("fn").isin(RQ.SEARCH_TOOL, RQ.CONTEXT_TOOL)) \
+        .select("question_id", "pos", "fn", RQ.unknown_tool().alias("result"))
+    return s.unionByName(g).unionByName(other)
+
+
+@reg("tool_call_route")
+def tool_call_route(c: Ctx) -> DataFrame:
+    return _routed(c)
+
+
+@reg("tool_call_log")
+def tool_call_log(c: Ctx) -> DataFrame:
+    r = _routed(c)
+    xs = F.array_sort(F.collect_list(F.struct("pos", "fn", "result")))
+    return r.groupBy("question_id").agg(
+        F.count(F.lit(1)).alias("n_calls"),
+        F.array_join(F.transform(xs, lambda x: x["fn"]), ",").alias("tools"),
+        F.sum(F.length("result")).cast("long").alias("result_chars"))
+
+
+@reg("retrieval_report")
+def retrieval_report(c: Ctx) -> DataFrame:
+    """Per conversation: its first question, the tool calls made, the retrieved
+    context size; ``answer`` is left null (no model call in this library)."""
+    r = _routed(c)
+    calls = r.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_tool_calls"),
+                                         F.sum(F.length("result")).cast("long").alias("context_chars"))
+    first_q = (c.questions.groupBy("conv_id").agg(F.min_by("question", "turn").alias("question"))
+                .withColumnRenamed("conv_id", "question_id"))
+    n_answered = first_q.agg(F.count(F.lit(1))).scalar()
+    return (first_q.join(calls, "question_id", "left")
+                   .select("question_id", "question",
+                           F.coalesce("n_tool_calls", F.lit(0)).cast("long").alias("n_tool_calls"),
+                           F.coalesce("context_chars", F.lit(0)).cast("long").alias("context_chars"),
+                           F.lit(None).cast("string").alias("answer"),
+                           F.lit(V.EMBEDDER_NAME).alias("embedding_model"),
+                           n_answered.alias("questions_answered")))

@@ -62,3 +62,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cut_lineage(df):
+    """Materialise a small, reused intermediate in the shared checkpoint folder and
+    return a frame whose plan is a plain scan of it. Later plans stay small (fast
+    to analyse) and a lost executor re-reads the files instead of recomputing."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
