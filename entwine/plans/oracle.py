@@ -447,3 +447,12 @@ SELECT fq.question_id, fq.question, coalesce(n_tool_calls, 0)::BIGINT AS n_tool_
   coalesce(context_chars, 0)::BIGINT AS context_chars, NULL::VARCHAR AS answer, '{EMBEDDER_NAME}' AS embedding_model,
   (SELECT count(*) FROM fq) AS questions_answered
 FROM fq LEFT JOIN calls USING (question_id)"""
+
+
+# ---------------------------------------------------------------- 2.1 sinks and round trips
+ORACLE["csv_roundtrip_clean"] = ORACLE["clean_visits"]
+ORACLE["summaries_roundtrip"] = f"{ctes('dist')} SELECT entity_type, entity, dist_column, value, n FROM dist"
+ORACLE["graph_json_import"] = f"{GR} SELECT * FROM edges"
+ORACLE["graph_metadata_csv"] = ORACLE["graph_metadata"]
+ORACLE["stats_table_replace"] = ORACLE["entity_stats"]
+ORACLE["graph_replace_in_place"] = f"{UPD2} SELECT src, dst, relationship, weight, title FROM edges"

@@ -494,7 +494,9 @@ def embed_documents(c: Ctx) -> DataFrame:
 @reg("embed_collection")
 def embed_collection(c: Ctx) -> DataFrame:
     d = V.dense(c.documents, ["id"], c.d_post)
-    return c.documents.join(d, "id")
+    return c.documents.join(d, "id").select(
+        "id", "entity_type", "entity_name", F.size("embedding").cast("long").alias("dim"),
+        F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("nonzero"))
 
 
 @reg("embed_dimension_check")
@@ -663,3 +665,89 @@ def retrieval_report(c: Ctx) -> DataFrame:
                            F.lit(None).cast("string").alias("answer"),
                            F.lit(V.EMBEDDER_NAME).alias("embedding_model"),
                            n_answered.alias("questions_answered")))
+
+
+# ---------------------------------------------------------------- 2.1 sinks and round trips
+from ..session import scratch_path  # noqa: E402
+from ..sources import io as IO  # noqa: E402
+
+
+@reg("csv_roundtrip_clean")
+def csv_roundtrip_clean(c: Ctx) -> DataFrame:
+    return IO.csv_roundtrip(c.clean)
+
+
+@reg("summaries_roundtrip")
+def summaries_roundtrip(c: Ctx) -> DataFrame:
+    """Nested summaries (one map<string,bigint> per distribution) to Parquet and
+    back, exploded to long form."""
+    nested = (c.dist.groupBy("entity_type", "entity", "dist_column")
+                    .agg(F.map_from_entries(F.collect_list(F.struct("value", "n"))).alias("dist")))
+    back = IO.parquet_roundtrip(nested)
+    return back.select("entity_type", "entity", "dist_column", F.explode("dist").alias("value", "n"))
+
+
+@reg("graph_json_export")
+def graph_json_export(c: Ctx) -> DataFrame:
+    path = IO.export_graph_json(c.nodes, c.edges, scratch_path(c.spark, "graph-json"))
+    return c.spark.read.text([f"{path}/nodes", f"{path}/links"])
+
+
+@reg("graph_json_import")
+def graph_json_import(c: Ctx) -> DataFrame:
+    path = IO.export_graph_json(c.nodes, c.edges, scratch_path(c.spark, "graph-json"))
+    return IO.import_graph_json(c.spark, path)[1]
+
+
+@reg("graph_metadata_csv")
+def graph_metadata_csv(c: Ctx) -> DataFrame:
+    return IO.csv_roundtrip(G.graph_metadata(c.nodes, c.edges))
+
+
+@reg("documents_store")
+def documents_store(c: Ctx) -> DataFrame:
+    docs = c.documents.select("id", "text", F.struct("entity_type", "entity_name").alias("metadata"))
+    back = IO.parquet_roundtrip(docs)
+    return back.select("id", "text", F.col("metadata.entity_type").alias("entity_type"),
+                       F.col("metadata.entity_name").alias("entity_name"))
+
+
+@reg("vector_store")
+def vector_store(c: Ctx) -> DataFrame:
+    """Vectors stored partitioned by entity type; one type is then re-embedded and
+    rewritten alone (dynamic partition overwrite) and the store is reopened."""
+    path = scratch_path(c.spark, "vectors")
+    vec = c.documents.join(V.dense(c.documents, ["id"], c.d_post), "id")
+    vec.write.mode("overwrite").partitionBy("entity_type").parquet(path)
+    (vec.where(F.col("entity_type") == "insight").write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").partitionBy("entity_type").parquet(path))
+    back = c.spark.read.parquet(path)
+    return back.select("id", "entity_type", "entity_name", F.size("embedding").cast("long").alias("dim"),
+                       F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("nonzero"))
+
+
+@reg("stats_table_replace")
+def stats_table_replace(c: Ctx) -> DataFrame:
+    s = P.entity_stats(c.profile, c.spec)
+    IO.replace_table(s, "entity_statistics")
+    return IO.replace_table(s, "entity_statistics").orderBy(F.desc("patient_count"))
+
+
+@reg("report_json")
+def report_json(c: Ctx) -> DataFrame:
+    path = scratch_path(c.spark, "report")
+    retrieval_report(c).write.mode("overwrite").json(path)
+    return c.spark.read.json(path)
+
+
+@reg("graph_replace_in_place")
+def graph_replace_in_place(c: Ctx) -> DataFrame:
+    """Save the graph, read it back, upsert the recent batch, save the successor as
+    a new version and read the current version again: its edges."""
+    store = IO.VersionedGraph(c.spark, scratch_path(c.spark, "graph-store"))
+    store.save(c.nodes, c.edges)
+    nodes0, edges0 = store.load()
+    nodes = U.upsert_nodes(nodes0, _batch_nodes(c), c.spec).drop("status")
+    edges = U.upsert_edges(edges0, _batch_edges(c, topk=None), c.spec).drop("status")
+    store.save(nodes, edges)
+    return store.load()[1]
