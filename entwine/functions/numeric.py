@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 
 def to_units(x: Column | str, decimals: int) -> Column:
-    """A value with ``decimals`` fractional digits as an exact integer count of units."""
+    """A value with ``decimals`` fractional digits as an exact integer count of units
+    (a long: sums stay primitive and codegen'd; ANSI mode raises on overflow rather
+    than wrapping, and a long holds 9.2e18 cents)."""
     x = F.col(x) if isinstance(x, str) else x
-    return F.round(x * F.lit(10 ** decimals)).cast("decimal(38,0)")
+    return F.round(x * F.lit(10 ** decimals)).cast("long")
 
 
 def idiv(a: Column, b: Column) -> Column:

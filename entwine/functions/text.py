@@ -21,9 +21,14 @@ def title_case(x: Column | str) -> Column:
         "")
 
 
+# Fixed value: the whitespace set stripped (Java regex ``\s``: space, \t, \n, \v, \f, \r).
+WHITESPACE = " \t\n\x0b\x0c\r"
+
+
 def strip_ws(x: Column | str) -> Column:
-    """Strip all leading/trailing whitespace (``trim`` removes spaces only)."""
-    return F.regexp_replace(_c(x), r"^\s+|\s+$", "")
+    """Strip all leading/trailing whitespace (``trim`` removes spaces only). A
+    character-set trim, not a regex: no per-row pattern matching."""
+    return F.btrim(_c(x), F.lit(WHITESPACE))
 
 
 def fmt_int(x: Column | str) -> Column:
