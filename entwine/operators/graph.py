@@ -48,30 +48,35 @@ def nodes_from_counts(counts: DataFrame, spec: GraphSpec = HEALTHCARE) -> DataFr
 
 
 def relation_edges(pairs: DataFrame, spec: GraphSpec = HEALTHCARE, only: str | None = None) -> DataFrame:
-    """pairs(pair, a, b, n) → edges for every hub relation (or just ``only``).
-    A relation with ``top_k`` keeps the k heaviest targets per hub (ties by label);
-    the per-hub window runs on aggregated counts and plans as a WindowGroupLimit."""
+    """pairs(pair, a, b, n) → edges for every hub relation (or just ``only``), in one
+    pass: a literal map routes each hub pair row to its relation. A relation with
+    ``top_k`` keeps the k heaviest targets per hub (ties by label); that window
+    runs on aggregated counts and plans as a WindowGroupLimit."""
     order = [a.key for a in spec.attributes]
     hub = spec.attr(spec.hub)
-    parts = []
+    routes = {}
     for r in spec.relations:
         if only and r.name != only:
             continue
         tgt = spec.attr(r.target)
         x, y = sorted((hub.key, tgt.key), key=order.index)
-        h, t = ("a", "b") if x == hub.key else ("b", "a")
-        e = pairs.where(F.col("pair") == f"{x}|{y}").select(F.col(h).alias("h"), F.col(t).alias("t"), "n")
-        if r.top_k:
-            w = Window.partitionBy("h").orderBy(F.desc("n"), F.asc("t"))
-            e = e.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= r.top_k).drop("_r")
-        parts.append(e.select(node_id(F.lit(hub.node_type), F.col("h")).alias("src"),
-                              node_id(F.lit(tgt.node_type), F.col("t")).alias("dst"),
-                              F.lit(r.name).alias("relationship"),
-                              F.col("n").alias("weight"),
-                              edge_tooltip(F.lit(r.name), F.col("n"), F.lit(r.unit)).alias("title")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        routes[f"{x}|{y}"] = (r, tgt, x != hub.key)
+    info = F.create_map(*[x for k, (r, tgt, flip) in routes.items() for x in (
+        F.lit(k), F.struct(F.lit(r.name).alias("rel"), F.lit(r.unit).alias("unit"),
+                           F.lit(tgt.node_type).alias("ttype"), F.lit(flip).alias("flip"),
+                           F.lit(r.top_k or 0).alias("top_k")))])
+    e = (pairs.where(F.col("pair").isin(list(routes)))
+              .select(info[F.col("pair")].alias("r"), "a", "b", "n")
+              .select("r", F.when(F.col("r.flip"), F.col("b")).otherwise(F.col("a")).alias("h"),
+                      F.when(F.col("r.flip"), F.col("a")).otherwise(F.col("b")).alias("t"), "n"))
+    w = Window.partitionBy("r.rel", "h").orderBy(F.desc("n"), F.asc("t"))
+    e = (e.withColumn("_k", F.when(F.col("r.top_k") > 0, F.row_number().over(w)).otherwise(F.lit(0)))
+          .where((F.col("r.top_k") == 0) | (F.col("_k") <= F.col("r.top_k"))))
+    out = e.select(node_id(F.lit(hub.node_type), F.col("h")).alias("src"),
+                   node_id(F.col("r.ttype"), F.col("t")).alias("dst"),
+                   F.col("r.rel").alias("relationship"),
+                   F.col("n").alias("weight"),
+                   edge_tooltip(F.col("r.rel"), F.col("n"), F.col("r.unit")).alias("title"))
     return out.where(F.col("src") != F.col("dst"))   # no self-loops
 
 

@@ -97,24 +97,29 @@ def pair_counts(clean: DataFrame, spec: GraphSpec = HEALTHCARE) -> DataFrame:
     return f.select("pair", "a", "b", "n")
 
 
-def entity_dist(pairs: DataFrame, spec: GraphSpec = HEALTHCARE) -> DataFrame:
-    """Long-form distributions: entity_type, entity, dist_column, value, n, rank
-    (rank 1 = most frequent; ties by value). Both directions of a pair are read from
-    the one ``pair_counts`` row."""
-    parts = []
+def _dist_routes(spec: GraphSpec) -> Column:
+    """Literal map: pair name → array of (entity_type, dist_column, flip) telling in
+    which direction(s) a pair row serves a distribution."""
+    order = [a.key for a in spec.attributes]
+    routes: dict[str, list] = {}
     for t in spec.node_attrs:
         for d in t.dists:
-            order = [a.key for a in spec.attributes]
             x, y = sorted((t.key, d), key=order.index)
-            ent, val = ("a", "b") if x == t.key else ("b", "a")
-            parts.append(pairs.where(F.col("pair") == f"{x}|{y}")
-                              .select(F.lit(t.node_type).alias("entity_type"),
-                                      F.col(ent).alias("entity"),
-                                      F.lit(d).alias("dist_column"),
-                                      F.col(val).alias("value"), "n"))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
+            routes.setdefault(f"{x}|{y}", []).append((t.node_type, d, x != t.key))
+    return F.create_map(*[x for k, v in routes.items() for x in (
+        F.lit(k), F.array(*[F.struct(F.lit(et).alias("entity_type"), F.lit(dc).alias("dist_column"),
+                                     F.lit(fl).alias("flip")) for et, dc, fl in v]))])
+
+
+def entity_dist(pairs: DataFrame, spec: GraphSpec = HEALTHCARE) -> DataFrame:
+    """Long-form distributions: entity_type, entity, dist_column, value, n, rank
+    (rank 1 = most frequent; ties by value). One pass over ``pair_counts``: each
+    pair row is routed to the distribution(s) it serves, in either direction."""
+    r = pairs.select("a", "b", "n", F.explode(_dist_routes(spec)[F.col("pair")]).alias("r"))
+    u = r.select(F.col("r.entity_type").alias("entity_type"),
+                 F.when(F.col("r.flip"), F.col("b")).otherwise(F.col("a")).alias("entity"),
+                 F.col("r.dist_column").alias("dist_column"),
+                 F.when(F.col("r.flip"), F.col("a")).otherwise(F.col("b")).alias("value"), "n")
     w = Window.partitionBy("entity_type", "entity", "dist_column").orderBy(F.desc("n"), "value")
     return u.withColumn("rank", F.row_number().over(w).cast("long"))
 

@@ -120,3 +120,15 @@ class Ctx:
         from ..operators.retrieve import graph_context
         names = self.documents.select("entity_name").where(F.col("entity_name").isNotNull()).distinct()
         return cut_lineage(graph_context(names, "entity_name", self.nodes, self.edges, self.spec))
+
+    # ------------------------------------------------------------ incremental update inputs
+    @cached_property
+    def batch(self) -> DataFrame:
+        """The N most recent records (N = spec.update_batch_size), materialised once:
+        bounded by the parameter, read by both batch aggregates."""
+        from ..operators.update import recent_batch
+        return cut_lineage(recent_batch(self.clean, self.spec.update_batch_size))
+
+    @cached_property
+    def batch_facts(self) -> DataFrame:
+        return P.entity_facts(self.batch, self.spec, nodes=True, pairs=True)

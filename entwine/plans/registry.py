@@ -379,17 +379,17 @@ from ..operators import update as U  # noqa: E402
 
 
 def _batch(c: Ctx) -> DataFrame:
-    return U.recent_batch(c.clean, c.spec.update_batch_size)
+    return c.batch
 
 
 def _batch_nodes(c: Ctx) -> DataFrame:
-    b = P.entity_profile(_batch(c), c.spec)
+    b = P.profile_from_facts(c.batch_facts, c.spec)
     return b.select(G.node_id("entity_type", "entity").alias("id"), F.col("entity").alias("label"),
                     F.col("entity_type").alias("node_type"), F.col("patient_count").alias("n"))
 
 
 def _batch_edges(c: Ctx, topk: bool | None) -> DataFrame:
-    pairs = P.pair_counts(_batch(c), c.spec)
+    pairs = c.batch_facts.where(~F.col("pair").isin(P.NODE, P.ALL)).select("pair", "a", "b", "n")
     e = G.relation_edges(pairs, c.spec)
     tk = [r.name for r in c.spec.relations if r.top_k]
     if topk is True:
@@ -401,7 +401,7 @@ def _batch_edges(c: Ctx, topk: bool | None) -> DataFrame:
 
 @reg("update_batch_nodes")
 def update_batch_nodes(c: Ctx) -> DataFrame:
-    return P.entity_profile(_batch(c), c.spec).select("entity_type", "entity", "patient_count")
+    return P.profile_from_facts(c.batch_facts, c.spec).select("entity_type", "entity", "patient_count")
 
 
 @reg("update_upsert_nodes")
