@@ -52,11 +52,13 @@ class Ctx:
 
     @cached_property
     def dist(self) -> DataFrame:
-        return P.entity_dist(self.pairs, self.spec)
+        """Long-form distributions (bounded by entity × value pairs), materialised
+        once: documents, summaries and ranks all read it."""
+        return cut_lineage(P.entity_dist(self.pairs, self.spec))
 
     @cached_property
     def texts(self) -> DataFrame:
-        return P.dist_texts(self.dist)
+        return cut_lineage(P.dist_texts(self.dist))
 
     @cached_property
     def total(self) -> DataFrame:
