@@ -6,7 +6,7 @@ Every step is a join or an aggregate; the batch is bounded by its size parameter
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import edge_tooltip, node_tooltip
@@ -18,11 +18,26 @@ TIE_BREAK = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity
              "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 
 
-def recent_batch(clean: DataFrame, n: int) -> DataFrame:
-    """The ``n`` most recent records by admission date (a ``TakeOrderedAndProject``:
-    each partition keeps its own top ``n``, one task merges partitions × n rows)."""
+FAN_IN = 64
+
+
+def recent_batch(clean: DataFrame, n: int, fan_in: int = FAN_IN) -> DataFrame:
+    """The ``n`` most recent records by admission date, as a two-level top-n.
+
+    A plain ``orderBy().limit(n)`` merges (number of map tasks × n) rows in one
+    task, which grows with the input. Here every map task belongs to one of
+    ``fan_in`` groups (its partition id mod fan_in); a per-group
+    ``row_number() <= n`` plans as a WindowGroupLimit that keeps n rows per task
+    *before* the shuffle, each of the fan_in reducers keeps n, and the final
+    ordered limit merges at most fan_in × n rows. Exact: the global top n is
+    contained in the union of the group top n's."""
     order = [F.desc("date_of_admission")] + [F.desc(c) for c in TIE_BREAK]
-    return clean.orderBy(*order).limit(n)
+    w = Window.partitionBy("_grp").orderBy(*order)
+    pre = (clean.withColumn("_grp", F.spark_partition_id() % fan_in)
+                .withColumn("_rn", F.row_number().over(w))
+                .where(F.col("_rn") <= n)
+                .drop("_grp", "_rn"))
+    return pre.orderBy(*order).limit(n)
 
 
 def upsert_nodes(base: DataFrame, batch_counts: DataFrame, spec: GraphSpec = HEALTHCARE) -> DataFrame:

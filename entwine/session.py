@@ -24,6 +24,9 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Let per-group top-n filters (row_number() <= n) apply a partial limit before
+    # the shuffle for n up to the update batch size.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
 }
 
 
