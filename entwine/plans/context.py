@@ -39,7 +39,9 @@ class Ctx:
         entities and value pairs (not by rows), so it is persisted and every
         downstream frame of this context reads it instead of rescanning; a lost
         block is recomputed from lineage."""
-        return cut_lineage(P.entity_facts(self.clean, self.spec, nodes=True, pairs=True, total=True))
+        facts = cut_lineage(P.entity_facts(self.clean, self.spec, nodes=True, pairs=True, total=True))
+        P.check_cardinality(facts, self.spec)
+        return facts
 
     @cached_property
     def profile(self) -> DataFrame:

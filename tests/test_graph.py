@@ -99,3 +99,12 @@ def test_stream_batch_redo_is_idempotent(spark, tmp_path):
     w(batch.limit(1), 1)
     g = {(r.src, r.dst): r.weight for r in current_graph(spark, str(tmp_path / "d")).collect()}
     assert g == {("1", "a"): 3, ("2", "b"): 1}
+
+
+def test_cardinality_guard_refuses_high_cardinality(make_clean):
+    import pytest
+    clean = make_clean([(f"c{i}", "m", "i", "a", "r", "b", "g", 1, 1.0, 1) for i in range(5)])
+    facts = P.entity_facts(clean, HEALTHCARE, nodes=True, pairs=False)
+    P.check_cardinality(facts, HEALTHCARE, max_per_type=5)
+    with pytest.raises(ValueError):
+        P.check_cardinality(facts, HEALTHCARE, max_per_type=4)
