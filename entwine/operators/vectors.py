@@ -75,15 +75,33 @@ def distance(dot: Column, qq: Column, dd: Column) -> Column:
              .otherwise(F.lit(2.0) - F.lit(2.0) * dot / F.sqrt((qq * dd).cast("double"))))
 
 
+def _bucket_dots(q_post: DataFrame, q_key: str, d_post: DataFrame, d_key: str,
+                 broadcast_rows: int, salts: int) -> DataFrame:
+    """(_q, _d, dot) for every pair sharing a bucket.
+
+    Small corpus (checked): broadcast its postings, no shuffle of the queries.
+    Large corpus: only ``dim`` distinct join keys would make each bucket one hot
+    reducer, so the corpus side is salted by document (``hash(id) mod salts``) and
+    the query postings are replicated once per salt; the join key (bucket, salt)
+    then spreads every bucket over ``salts`` tasks. Both paths are exact."""
+    q = q_post.select(F.col(q_key).alias("_q"), "bucket", F.col("n").alias("qn"))
+    d = d_post.select(F.col(d_key).alias("_d"), "bucket", F.col("n").alias("dn"))
+    n = d.limit(broadcast_rows + 1).count()
+    if n <= broadcast_rows:
+        j = q.join(F.broadcast(d), "bucket")
+    else:
+        ds = d.withColumn("salt", F.pmod(F.hash("_d"), F.lit(salts)))
+        qs = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        j = qs.join(ds, ["bucket", "salt"])
+    return j.groupBy("_q", "_d").agg(F.sum(F.col("qn") * F.col("dn")).alias("dot"))
+
+
 def topk(q_post: DataFrame, q_norm: DataFrame, q_key: str,
-         d_post: DataFrame, d_norm: DataFrame, d_key: str, k: int = 4) -> DataFrame:
+         d_post: DataFrame, d_norm: DataFrame, d_key: str, k: int = 4,
+         broadcast_rows: int = CORPUS_BROADCAST_ROWS, salts: int = 64) -> DataFrame:
     """Exact k nearest documents per query: q_key, rank, d_key, distance.
     Ties are broken by the lower document id."""
-    dp = broadcast_if_bounded(d_post.select(F.col(d_key).alias("_d"), "bucket", F.col("n").alias("dn")),
-                              CORPUS_BROADCAST_ROWS)
-    cand = (q_post.select(F.col(q_key).alias("_q"), "bucket", F.col("n").alias("qn"))
-                  .join(dp, "bucket")
-                  .groupBy("_q", "_d").agg(F.sum(F.col("qn") * F.col("dn")).alias("dot")))
+    cand = _bucket_dots(q_post, q_key, d_post, d_key, broadcast_rows, salts)
     dn = d_norm.select(F.col(d_key).alias("_d"), F.col("nn").alias("dd"))
     first = dn.orderBy("_d").limit(k).agg(F.collect_list("_d")).scalar()
     first_zero = dn.where(F.col("dd") == 0).orderBy("_d").limit(k).agg(F.collect_list("_d")).scalar()
@@ -91,7 +109,7 @@ def topk(q_post: DataFrame, q_norm: DataFrame, q_key: str,
     fill = qn.select("_q", F.explode(F.array_union(first, first_zero)).alias("_d"),
                      F.lit(0).cast("long").alias("dot"))
     pool = cand.unionByName(fill).groupBy("_q", "_d").agg(F.sum("dot").alias("dot"))
-    scored = (pool.join(qn, "_q").join(broadcast_if_bounded(dn, CORPUS_BROADCAST_ROWS), "_d")
+    scored = (pool.join(qn, "_q").join(broadcast_if_bounded(dn, broadcast_rows), "_d")
                   .withColumn("distance", distance(F.col("dot"), F.col("qq"), F.col("dd"))))
     w = Window.partitionBy("_q").orderBy("distance", "_d")
     return (scored.withColumn("rank", F.row_number().over(w).cast("long"))

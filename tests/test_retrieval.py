@@ -73,6 +73,10 @@ def test_exact_topk_matches_brute_force_with_ties(spark):
         got.setdefault(r.qid, []).append(r.id)
     assert got == _brute(qs, docs, 3)
     assert got[1][:2] == ["d0", "d1"]           # equal distance → lower id first
+    # the salted shuffle path (corpus above the broadcast bound) gives the same result
+    salted = V.topk(qp, V.norms(dq, ["qid"], qp), "qid", dp, V.norms(dd, ["id"], dp), "id", 3,
+                    broadcast_rows=0, salts=4).collect()
+    assert sorted((r.qid, r.rank, r.id) for r in salted) == sorted((r.qid, r.rank, r.id) for r in hits)
 
 
 def test_requests_parse_defaults_and_unknown_tool(spark):
