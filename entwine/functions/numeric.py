@@ -49,10 +49,7 @@ def rounded_ratio(num: Column, den: Column, decimals: int, num_decimals: int = 0
     return F.when(den > 0, q.cast("double") / F.lit(float(10 ** decimals)))
 
 
-def round_half_up(x: Column, decimals: int, src_decimals: int) -> Column:
-    """Round a value already holding ``src_decimals`` exact decimals to fewer."""
-    return rounded_ratio(to_units(x, src_decimals), F.lit(1), decimals, src_decimals) \
-        if decimals >= src_decimals else \
-        F.when(F.lit(True), half_up(to_units(x, src_decimals),
-                                     F.lit(10 ** (src_decimals - decimals))).cast("double")
-               / F.lit(float(10 ** decimals)))
+def whole_units(x: Column | str, src_decimals: int) -> Column:
+    """A value holding ``src_decimals`` exact decimals rounded half-up to a whole
+    number (as a double), e.g. dollars-and-cents to whole dollars."""
+    return half_up(to_units(x, src_decimals), F.lit(10 ** src_decimals)).cast("double")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import half_up, rounded_ratio, to_units
+from ..functions.numeric import rounded_ratio, whole_units
 from ..functions.text import fmt_fixed, fmt_int, fmt_money, fmt_plain, slug_id
 from ..spec import GraphSpec, HEALTHCARE
 from .profile import emergency_from_dist, rank_both_ways
@@ -115,7 +115,7 @@ def _fold(u: DataFrame, lists: dict[str, tuple[str, str]]) -> DataFrame:
 
 def cost_insight(profile: DataFrame, spec: GraphSpec = HEALTHCARE) -> DataFrame:
     hub = profile.where(F.col("entity_type") == spec.attr(spec.hub).node_type)
-    whole = half_up(to_units("avg_billing", 2), F.lit(100)).cast("double")
+    whole = whole_units("avg_billing", 2)
     rb = rank_both_ways(hub.select("entity", "avg_billing"), "avg_billing").select(
         "pos", "grp", F.lit("billing").alias("m"),
         F.concat(F.col("entity"), F.lit(" ("), fmt_money(whole, 0), F.lit(")")).alias("t"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
-from ..functions.numeric import rounded_ratio
+from ..functions.numeric import rounded_ratio, whole_units
 from ..operators import clean as C
 from ..operators import profile as P
 from .context import Ctx
@@ -100,12 +100,7 @@ def number_format(c: Ctx) -> DataFrame:
         TX.fmt_int("patient_count").alias("count_text"),
         F.coalesce(TX.fmt_money("avg_billing"), F.lit("")).alias("billing_text"),
         F.concat(TX.fmt_fixed(pct, 1, commas=False), F.lit("%")).alias("pct_text"),
-        F.coalesce(TX.fmt_money(P_round0("avg_billing"), 0), F.lit("")).alias("billing_whole_text"))
-
-
-def P_round0(col: str):
-    from ..functions.numeric import half_up, to_units
-    return half_up(to_units(col, 2), F.lit(100)).cast("double")
+        F.coalesce(TX.fmt_money(whole_units("avg_billing", 2), 0), F.lit("")).alias("billing_whole_text"))
 
 
 @reg("stats_display")
