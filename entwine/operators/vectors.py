@@ -19,6 +19,9 @@ candidate set exactly. Distances are computed from integer counts,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,11 +124,10 @@ def embed_with(df: DataFrame, text: str, model_factory, dim: int, out: str = "em
     """Plug-in embedder: ``model_factory()`` returns a callable list[str] → 2-D array
     of shape (n, dim). Runs as an iterator pandas UDF: one model per Python worker,
     Arrow batches in and out."""
-    import pandas as pd
     from pyspark.sql.types import ArrayType, FloatType
 
     @F.pandas_udf(ArrayType(FloatType()))
-    def _embed(batches):
+    def _embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = model_factory()
         for s in batches:
             vecs = model(s.fillna("").tolist())

@@ -95,3 +95,14 @@ def test_prompt_template_roles(spark):
     assert [m.role for m in msgs] == ["system", "user"] and msgs[1].content == "Why?"
     t = RQ.read_template(spark).collect()
     assert [r.role for r in t] == ["system", "human"]
+
+
+def test_pluggable_embedder_runs_batched(spark):
+    def length_model():          # defined here so workers receive it by value
+        def embed(texts):
+            return [[float(len(t)), 1.0] for t in texts]
+        return embed
+
+    df = spark.createDataFrame([(1, "ab"), (2, "abcd"), (3, None)], "id long, text string")
+    got = {r.id: list(r.embedding) for r in V.embed_with(df, "text", length_model, 2).collect()}
+    assert got == {1: [2.0, 1.0], 2: [4.0, 1.0], 3: [0.0, 1.0]}
