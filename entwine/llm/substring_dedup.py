@@ -135,15 +135,16 @@ def removed_windows(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) ->
     if not 1 <= kmer <= window:
         raise ValueError("a window holds at least one k-mer")
     occ = written(occurrences(docs, window, kmer), "repeat-occurrences")
-    shared = (occ.groupBy("a").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-              .where("first < last").select("a", "first", (F.col("c0") != F.col("c1")).alias("branches")))
+    # tables, so that Spark can split a k-mer that many documents hold when it joins
+    shared = written(occ.groupBy("a").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+                     .where("first < last").select("a", "first", (F.col("c0") != F.col("c1")).alias("branches")), "repeat-kmers")
     occ = written(occ.join(shared, "a"), "repeat-shared")
     sources = (occ.where("branches").groupBy("a", "c").agg(F.min(F.struct("doc_id", "start", "m")).alias("s"))
                .select("a", "c", "s.doc_id", "s.start", "s.m"))
     windows = written(branch_windows(docs, sources, window), "repeat-windows")
-    least = windows.groupBy("a", "w").agg(F.min("first").alias("least"))
-    verdict = (windows.join(least, ["a", "w"]).groupBy("a", "c")
-               .agg(F.collect_set(F.struct("off", "least")).alias("offs")))  # as many as the path has windows
+    least = written(windows.groupBy("a", "w").agg(F.min("first").alias("least")), "repeat-least")
+    verdict = written(windows.join(least, ["a", "w"]).groupBy("a", "c")
+               .agg(F.collect_set(F.struct("off", "least")).alias("offs")), "repeat-verdicts")  # as many as the path has windows
     plain = occ.where(~F.col("branches") & (F.col("doc_id") > F.col("first"))).select(
         "doc_id", F.sequence(F.col("start"), F.col("start") + F.col("m") - 1).alias("starts"))
     branched = (occ.where("branches").join(verdict, ["a", "c"])
