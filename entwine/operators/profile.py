@@ -210,20 +210,3 @@ def rank_both_ways(df: DataFrame, value: str, k: int = 3, key: str = "entity") -
     top = r.where(F.col("pos") <= k).withColumn("grp", F.lit("top"))
     bottom = r.where(F.col("pos") > cnt - k).withColumn("grp", F.lit("bottom"))
     return top.unionByName(bottom)
-
-
-MAX_ENTITIES_PER_TYPE = 100_000
-
-
-def check_cardinality(facts: DataFrame, spec: GraphSpec = HEALTHCARE,
-                      max_per_type: int = MAX_ENTITIES_PER_TYPE) -> None:
-    """Refuse a spec whose entity columns are not categorical: every broadcast of a
-    node/edge/document table and every per-entity value list relies on the number
-    of distinct values per attribute staying bounded. Runs on the (small) facts
-    aggregate, not on the fact rows."""
-    node_counts = (facts.where(F.col("pair") == NODE).groupBy("entity_type")
-                        .agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > max_per_type))
-    over = node_counts.limit(1).collect()
-    if over:
-        raise ValueError(f"attribute {over[0]['entity_type']!r} has more than {max_per_type} distinct values; "
-                         "give it a top-k in the spec or leave it out of the graph")

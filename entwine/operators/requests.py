@@ -24,10 +24,15 @@ DEFAULT_N_RESULTS = 4
 ARGS_SCHEMA = "query string, n_results int, entity_name string"
 
 
+def question_key(conv: str, turn: str):
+    """One key for a question: its conversation and turn, ``<conv_id>:<turn>``."""
+    return F.concat_ws(":", F.col(conv).cast("string"), F.col(turn).cast("string"))
+
+
 def questions(conversations: DataFrame) -> DataFrame:
     """Every user turn is a question: qid, conv_id, turn, question."""
     u = conversations.where(F.col("role") == "user")
-    return u.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "conv_id", "turn",
+    return u.select(question_key("conv_id", "turn").alias("qid"), "conv_id", "turn",
                     F.col("text").alias("question"))
 
 

@@ -18,26 +18,18 @@ TIE_BREAK = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity
              "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 
 
-FAN_IN = 64
+def recent_batch(clean: DataFrame, n: int, date: str = "date_of_admission", tie_break: tuple[str, ...] = TIE_BREAK) -> DataFrame:
+    """The ``n`` most recent records by ``date``, then ``tie_break`` (both descending).
 
-
-def recent_batch(clean: DataFrame, n: int, fan_in: int = FAN_IN) -> DataFrame:
-    """The ``n`` most recent records by admission date, as a two-level top-n.
-
-    A plain ``orderBy().limit(n)`` merges (number of map tasks × n) rows in one
-    task, which grows with the input. Here every map task belongs to one of
-    ``fan_in`` groups (its partition id mod fan_in); a per-group
-    ``row_number() <= n`` plans as a WindowGroupLimit that keeps n rows per task
-    *before* the shuffle, each of the fan_in reducers keeps n, and the final
-    ordered limit merges at most fan_in × n rows. Exact: the global top n is
-    contained in the union of the group top n's."""
-    order = [F.desc("date_of_admission")] + [F.desc(c) for c in TIE_BREAK]
-    w = Window.partitionBy("_grp").orderBy(*order)
-    pre = (clean.withColumn("_grp", F.spark_partition_id() % fan_in)
-                .withColumn("_rn", F.row_number().over(w))
-                .where(F.col("_rn") <= n)
-                .drop("_grp", "_rn"))
-    return pre.orderBy(*order).limit(n)
+    Records are counted per date (map-side partial sums, a row for each date); the
+    latest date with ``n`` records on it or after it is the cutoff, a scalar that Catalyst
+    pushes to the scans. Only the records from that date on, ``n`` and the rest of one day,
+    are sorted. Records without a date come last."""
+    per_date = clean.groupBy(date).agg(F.count(F.lit(1)).alias("_n"))
+    upto = per_date.withColumn("_upto", F.sum("_n").over(Window.orderBy(F.desc_nulls_last(date))))
+    cutoff = upto.where(F.col("_upto") >= n).agg(F.max_by(date, -F.col("_upto"))).scalar()
+    late = clean.where(cutoff.isNull() | (F.col(date) >= cutoff))
+    return late.orderBy(F.desc_nulls_last(date), *(F.desc(c) for c in tie_break)).limit(n)
 
 
 def upsert_nodes(base: DataFrame, batch_counts: DataFrame, spec: GraphSpec = HEALTHCARE) -> DataFrame:
@@ -47,11 +39,11 @@ def upsert_nodes(base: DataFrame, batch_counts: DataFrame, spec: GraphSpec = HEA
     labels = F.create_map(*[x for a in spec.node_attrs for x in (F.lit(a.node_type), F.lit(a.type_label))])
     colors = F.create_map(*[x for k, v in spec.colors.items() for x in (F.lit(k), F.lit(v))])
     b = batch_counts.select("id", F.col("label").alias("b_label"), F.col("node_type").alias("b_type"), "n")
-    j = base.join(b, "id", "full_outer")
+    j = base.withColumn("_saved", F.lit(True)).join(b, "id", "full_outer")
     count = F.coalesce(F.col("count"), F.lit(0)) + F.coalesce(F.col("n"), F.lit(0))
     node_type = F.coalesce(F.col("node_type"), F.col("b_type"))
     label = F.coalesce(F.col("label"), F.col("b_label"))
-    status = (F.when(F.col("title").isNull(), "new")
+    status = (F.when(F.col("_saved").isNull(), "new")
                .when(F.col("n").isNotNull(), "updated").otherwise("unchanged"))
     return j.select(
         "id", label.alias("label"), node_type.alias("node_type"),
@@ -68,10 +60,10 @@ def upsert_edges(base: DataFrame, batch_edges: DataFrame, spec: GraphSpec = HEAL
     follows the relation."""
     units = F.create_map(*[x for r in spec.relations for x in (F.lit(r.name), F.lit(r.unit))])
     b = batch_edges.select("src", "dst", F.col("relationship").alias("b_rel"), "n")
-    j = base.join(b, ["src", "dst"], "full_outer")
+    j = base.withColumn("_saved", F.lit(True)).join(b, ["src", "dst"], "full_outer")
     weight = F.coalesce(F.col("weight"), F.lit(0)) + F.coalesce(F.col("n"), F.lit(0))
     rel = F.coalesce(F.col("relationship"), F.col("b_rel"))
-    status = (F.when(F.col("title").isNull(), "new")
+    status = (F.when(F.col("_saved").isNull(), "new")
                .when(F.col("n").isNotNull(), "updated").otherwise("unchanged"))
     return j.select(
         "src", "dst", rel.alias("relationship"), weight.cast("long").alias("weight"),

@@ -1,7 +1,7 @@
 """Embedding and nearest-neighbour search.
 
 Embedder: the default is a network-free feature-hashing embedder written as native
-SQL (tokens ``[a-z0-9]+`` of the lower-cased text, bucket = first 8 hex digits of
+SQL (tokens are runs of letters, marks and digits of the lower-cased text, bucket = first 8 hex digits of
 md5(token) mod ``dim``, counts, L2-normalised), so it runs inside whole-stage
 codegen on executors. Vectors are kept sparse, as ``(id, bucket, n)`` postings,
 which is also the natural input of the exact search below. A user-given model can
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import broadcast_if_bounded
 
 DIM = 64
-TOKEN_PATTERN = r"[a-z0-9]+"
+TOKEN_PATTERN = r"[\p{L}\p{M}\p{N}]+"
 CORPUS_BROADCAST_ROWS = 2_000_000   # postings rows; beyond this the join shuffles
 EMBEDDER_NAME = "hashing-md5-64"
 

@@ -301,16 +301,16 @@ ORACLE["documents_union"] = f"{DOCS_ALL} SELECT id, entity_type, entity_name, le
 # ---------------------------------------------------------------- 2.11 embedding and vector search
 from ..operators.requests import CONTEXT_TOOL, DEFAULT_N_RESULTS, SEARCH_TOOL, load_template  # noqa: E402
 from ..operators.retrieve import SECTION_DIVIDER, UNKNOWN_ENTITY, UNKNOWN_TOOL  # noqa: E402
-from ..operators.vectors import DIM, EMBEDDER_NAME, TOKEN_PATTERN  # noqa: E402
+from ..operators.vectors import DIM, EMBEDDER_NAME  # noqa: E402
 
 
 def _post(src: str, key: str, text: str) -> str:
     return (f"SELECT {key}, (('0x' || substr(md5(tok), 1, 8))::BIGINT % {DIM}) AS bucket, count(*) AS n "
-            f"FROM (SELECT {key}, unnest(regexp_extract_all(lower({text}), '{TOKEN_PATTERN}')) AS tok FROM {src}) "
+            f"FROM (SELECT {key}, unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{M}}\\p{{N}}]+')) AS tok FROM {src}) "
             f"GROUP BY ALL")
 
 
-_QS = "qs AS (SELECT conv_id * 1000 + turn AS qid, conv_id, turn, text AS question FROM conversations WHERE role = 'user')"
+_QS = "qs AS (SELECT conv_id || ':' || turn AS qid, conv_id, turn, text AS question FROM conversations WHERE role = 'user')"
 _DIST = ("CASE WHEN qq = 0 AND dd = 0 THEN 0.0::DOUBLE WHEN qq = 0 OR dd = 0 THEN 1.0::DOUBLE "
          "ELSE 2.0::DOUBLE - 2.0::DOUBLE * dot / sqrt((qq * dd)::DOUBLE) END")
 
@@ -419,7 +419,7 @@ REQ = f"""req AS (SELECT conv_id AS question_id, turn AS pos,
 preq AS (SELECT question_id, pos, fn, query, coalesce(n_results_raw, {DEFAULT_N_RESULTS})::BIGINT AS n_results, entity_name FROM req)"""
 ORACLE["tool_call_parse"] = f"WITH {REQ} SELECT * FROM preq"
 ORACLE["entity_resolve"] = (f"{GRET}, {REQ} SELECT * FROM ({_resolve('(SELECT * FROM preq WHERE fn = ' + repr(CONTEXT_TOOL) + ')', 'entity_name', 's.question_id, s.pos, s.entity_name')})")
-_ROUTE = f"""sreq AS (SELECT question_id * 1000 + pos AS rid, * FROM preq WHERE fn = '{SEARCH_TOOL}'),
+_ROUTE = f"""sreq AS (SELECT question_id || ':' || pos AS rid, * FROM preq WHERE fn = '{SEARCH_TOOL}'),
 rqpost AS ({_post('sreq', 'rid', 'query')}),
 rqn AS (SELECT s.rid AS qk, coalesce(sum(p.n * p.n), 0)::BIGINT AS qq FROM sreq s LEFT JOIN rqpost p USING (rid) GROUP BY ALL),
 rdots AS (SELECT q.rid AS qk, d.id, sum(q.n * d.n) AS dot FROM rqpost q JOIN dpost d USING (bucket) GROUP BY ALL),
@@ -441,12 +441,12 @@ ORACLE["tool_call_route"] = f"{ROUTED} SELECT * FROM routed"
 ORACLE["tool_call_log"] = (f"{ROUTED} SELECT question_id, count(*) AS n_calls, string_agg(fn, ',' ORDER BY pos) AS tools, "
                            f"sum(length(result))::BIGINT AS result_chars FROM routed GROUP BY question_id")
 ORACLE["retrieval_report"] = f"""{ROUTED},
-calls AS (SELECT question_id, count(*) AS n_tool_calls, sum(length(result))::BIGINT AS context_chars FROM routed GROUP BY 1),
-fq AS (SELECT conv_id AS question_id, arg_min(question, turn) AS question FROM qs GROUP BY 1)
-SELECT fq.question_id, fq.question, coalesce(n_tool_calls, 0)::BIGINT AS n_tool_calls,
+calls AS (SELECT question_id, pos AS turn, count(*) AS n_tool_calls, sum(length(result))::BIGINT AS context_chars FROM routed GROUP BY 1, 2),
+fq AS (SELECT conv_id AS question_id, turn, question FROM qs)
+SELECT fq.question_id, fq.turn, fq.question, coalesce(n_tool_calls, 0)::BIGINT AS n_tool_calls,
   coalesce(context_chars, 0)::BIGINT AS context_chars, NULL::VARCHAR AS answer, '{EMBEDDER_NAME}' AS embedding_model,
   (SELECT count(*) FROM fq) AS questions_answered
-FROM fq LEFT JOIN calls USING (question_id)"""
+FROM fq LEFT JOIN calls USING (question_id, turn)"""
 
 
 # ---------------------------------------------------------------- 2.1 sinks and round trips

@@ -610,7 +610,7 @@ def tool_call_parse(c: Ctx) -> DataFrame:
 
 def _routed(c: Ctx) -> DataFrame:
     req = _parsed(c)
-    search = req.where(F.col("fn") == RQ.SEARCH_TOOL).withColumn("rid", F.col("question_id") * 1000 + F.col("pos"))
+    search = req.where(F.col("fn") == RQ.SEARCH_TOOL).withColumn("rid", RQ.question_key("question_id", "pos"))
     qp = V.postings(search, ["rid"], "query")
     qn = V.norms(search, ["rid"], qp)
     k = search.agg(F.max("n_results")).first()[0] or RQ.DEFAULT_N_RESULTS
@@ -645,16 +645,14 @@ def tool_call_log(c: Ctx) -> DataFrame:
 
 @reg("retrieval_report")
 def retrieval_report(c: Ctx) -> DataFrame:
-    """Per conversation: its first question, the tool calls made, the retrieved
-    context size; ``answer`` is left null (no model call in this library)."""
-    r = _routed(c)
-    calls = r.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_tool_calls"),
-                                         F.sum(F.length("result")).cast("long").alias("context_chars"))
-    first_q = (c.questions.groupBy("conv_id").agg(F.min_by("question", "turn").alias("question"))
-                .withColumnRenamed("conv_id", "question_id"))
-    n_answered = first_q.agg(F.count(F.lit(1))).scalar()
-    return (first_q.join(calls, "question_id", "left")
-                   .select("question_id", "question",
+    """Per question: the tool calls made for its turn and the retrieved context size;
+    ``answer`` is left null (no model call in this library)."""
+    calls = (_routed(c).groupBy("question_id", F.col("pos").alias("turn"))
+             .agg(F.count(F.lit(1)).alias("n_tool_calls"), F.sum(F.length("result")).cast("long").alias("context_chars")))
+    asked = c.questions.select(F.col("conv_id").alias("question_id"), "turn", "question")
+    n_answered = asked.agg(F.count(F.lit(1))).scalar()
+    return (asked.join(calls, ["question_id", "turn"], "left")
+                   .select("question_id", "turn", "question",
                            F.coalesce("n_tool_calls", F.lit(0)).cast("long").alias("n_tool_calls"),
                            F.coalesce("context_chars", F.lit(0)).cast("long").alias("context_chars"),
                            F.lit(None).cast("string").alias("answer"),

@@ -101,10 +101,36 @@ def test_stream_batch_redo_is_idempotent(spark, tmp_path):
     assert g == {("1", "a"): 3, ("2", "b"): 1}
 
 
-def test_cardinality_guard_refuses_high_cardinality(make_clean):
-    import pytest
-    clean = make_clean([(f"c{i}", "m", "i", "a", "r", "b", "g", 1, 1.0, 1) for i in range(5)])
-    facts = P.entity_facts(clean, HEALTHCARE, nodes=True, pairs=False)
-    P.check_cardinality(facts, HEALTHCARE, max_per_type=5)
-    with pytest.raises(ValueError):
-        P.check_cardinality(facts, HEALTHCARE, max_per_type=4)
+def test_event_stream_reads_a_folder_of_files(spark, tmp_path):
+    from entwine.streaming.graph_stream import current_graph, run_event_stream
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    assert len(list((tmp_path / "events.parquet").glob("part-*"))) == 5
+    got = current_graph(spark, run_event_stream(spark, str(tmp_path)))
+    assert got.agg(F.sum("weight")).first()[0] == events.where("user_id is not null and event_type is not null").count()
+
+
+def test_upsert_marks_saved_rows_without_title_as_updated(spark):
+    from entwine.operators.update import upsert_edges
+    base = spark.createDataFrame([("a", "b", "R", 3, None)], "src string, dst string, relationship string, weight long, title string")
+    batch = spark.createDataFrame([("a", "b", "R", 2)], "src string, dst string, relationship string, n long")
+    assert [(r.weight, r.status) for r in upsert_edges(base, batch).collect()] == [(5, "updated")]
+
+
+def test_tokens_keep_letters_of_all_languages(spark):
+    from entwine.operators.vectors import tokens
+    df = spark.createDataFrame([("Élève naïve, 東京 42",)], "t string")
+    assert df.select(tokens(F.col("t")).alias("x")).first().x == ["élève", "naïve", "東京", "42"]
+
+
+def test_question_keys_do_not_clash(spark):
+    from entwine.operators.requests import questions
+    c = spark.createDataFrame([(1, 1000, "user", "a"), (2, 0, "user", "b")], "conv_id long, turn long, role string, text string")
+    assert questions(c).select("qid").distinct().count() == 2
+
+
+def test_recent_batch_takes_the_latest_with_ties_and_nulls(spark):
+    from entwine.operators.update import recent_batch
+    df = spark.createDataFrame([(1, 1), (2, 2), (3, 2), (4, None)], "k int, date_of_admission int")
+    for n, want in ((1, [3]), (2, [3, 2]), (3, [3, 2, 1]), (4, [3, 2, 1, 4]), (9, [3, 2, 1, 4])):
+        assert [r.k for r in recent_batch(df, n, tie_break=("k",)).collect()] == want
