@@ -69,6 +69,7 @@ def weights(docs: DataFrame, labels: DataFrame, rows: int = BROADCAST_ROWS) -> t
 
 def posteriors(docs: DataFrame, labels: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[list[str], DataFrame]:
     """The domains and (doc_id, k, n_tokens, p_<domain>...), one row for each document."""
+    docs = docs.select("doc_id", "text")
     names, prior, table = weights(docs, labels, rows)
     tokens = token_rows(docs)
     if table is not None:
