@@ -46,9 +46,11 @@ def domains(labels: DataFrame) -> DataFrame:
 
 def token_rows(docs: DataFrame, *more: str) -> DataFrame:
     """(doc_id, k, pos, bucket, *more): a row for each token, one with null ``pos`` for a
-    document without any; ``k`` is a hash of the text."""
+    document without any; ``k`` is a hash of the text, taken below the generator: beside
+    it, Spark would hash the whole text again for each token."""
     found = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TOKEN), F.lit(0))
-    return (docs.select("doc_id", F.xxhash64("text").alias("k"), *more, F.posexplode_outer(found).alias("pos", "w"))
+    return (docs.select("doc_id", "text", F.xxhash64("text").alias("k"), *more)
+            .select("doc_id", "k", *more, F.posexplode_outer(found).alias("pos", "w"))
             .select("doc_id", "k", *more, "pos", F.when(F.col("w").isNotNull(), F.pmod(F.xxhash64("w"), F.lit(BUCKETS))).alias("bucket")))
 
 
