@@ -26,34 +26,39 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 SYSTEM, UNKNOWN = "system", "unknown"
 
 
+def as_seen(rows: DataFrame) -> DataFrame:
+    """``rows`` (speaker, perspective) with the role, name and header that the perspective gives the speaker."""
+    role = F.when(F.col("speaker") == F.col("perspective"), "assistant").when(F.col("speaker") == SYSTEM, SYSTEM).otherwise("user")
+    return (rows.withColumn("role", role).withColumn("name", F.when(F.col("role") == "user", F.col("speaker")))
+            .withColumn("header", F.concat(F.lit(OPEN), "role", F.when(F.col("name").isNotNull(), F.concat(F.lit(" name="), "name")).otherwise(""), F.lit("\n"))))
+
+
 def rotate(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
     """(conv_id, perspective, turn, role, name, header, text, mask_start, mask_end, start, end, trained):
     one row for each perspective and turn. ``start`` and ``end`` are the code points that the turn
     takes in the rendered dialogue, ``mask_start`` and ``mask_end`` those of its text."""
     clean = lambda c: F.replace(F.coalesce(F.col(c), F.lit("")), F.lit("<|"), F.lit("< |"))
+    last = F.lit(1 << 62)  # the block of turns without a number, after all others
     turns = conversations.where(F.col("conv_id").isNotNull()).select(
-        "conv_id", "turn", F.coalesce(F.nullif(F.btrim(clean("role")), F.lit("")), F.lit(UNKNOWN)).alias("speaker"), clean("text").alias("text"))
-    who = turns.where(~F.col("speaker").isin(SYSTEM, UNKNOWN)).select("conv_id", F.col("speaker").alias("perspective")).distinct()
-    own = F.col("speaker") == F.col("perspective")
-    role = F.when(own, "assistant").when(F.col("speaker") == SYSTEM, SYSTEM).otherwise("user")
-    rendered = (turns.join(who, "conv_id")
-                .withColumn("role", role).withColumn("name", F.when(F.col("role") == "user", F.col("speaker")))
-                .withColumn("header", F.concat(F.lit(OPEN), "role", F.when(F.col("name").isNotNull(), F.concat(F.lit(" name="), "name")).otherwise(""), F.lit("\n")))
-                .withColumn("size", (F.length("header") + F.length("text") + len(CLOSE)).cast("long"))
-                .withColumn("block", F.expr(f"turn div {block}")))
-    # perspectives of one dialogue differ in headers only; a block has few turns
-    key = ["conv_id", "perspective"]
-    by_block = rendered.groupBy(*key, "block").agg(F.sum("size").alias("block_size"))
-    order = Window.partitionBy(*key).orderBy(F.col("block").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    before = by_block.select(*key, F.col("block").alias("b"), F.coalesce(F.sum("block_size").over(order), F.lit(0).cast("long")).alias("before"))
-    inside = (Window.partitionBy(*key, "block").orderBy(F.col("turn").asc_nulls_last(), "speaker", "text").rowsBetween(Window.unboundedPreceding, -1))
-    placed = rendered.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0).cast("long")))
-    b = before.select(F.col("conv_id").alias("c"), F.col("perspective").alias("p"), "b", "before")
-    out = placed.join(b, (F.col("conv_id") == F.col("c")) & (F.col("perspective") == F.col("p")) & F.col("block").eqNullSafe(F.col("b")))
-    start = F.col("before") + F.col("inner")
-    return (out.withColumn("start", start).withColumn("end", start + F.col("size"))
-            .withColumn("mask_start", F.col("start") + F.length("header")).withColumn("mask_end", F.col("start") + F.length("header") + F.length("text"))
-            .select(*key, "turn", "role", "name", "header", "text", "start", "end", "mask_start", "mask_end", (F.col("role") == "assistant").alias("trained")))
+        "conv_id", "turn", F.coalesce(F.expr(f"turn div {block}"), last).alias("block"),
+        F.coalesce(F.nullif(F.btrim(clean("role")), F.lit("")), F.lit(UNKNOWN)).alias("speaker"), clean("text").alias("text"))
+
+    # narrow: where each block starts, from sizes by speaker; perspectives differ in headers only
+    sums = turns.groupBy("conv_id", "block", "speaker").agg(F.sum(F.length("text") + len(CLOSE)).alias("chars"), F.count("*").alias("n"))
+    who = sums.where(~F.col("speaker").isin(SYSTEM, UNKNOWN)).select("conv_id", F.col("speaker").alias("perspective")).distinct()
+    by_block = (as_seen(sums.join(who, "conv_id")).groupBy("conv_id", "perspective", "block")
+                .agg(F.sum(F.col("chars") + F.col("n") * F.length("header")).alias("size")))
+    order = Window.partitionBy("conv_id", "perspective").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = by_block.select("conv_id", "block", "perspective", F.coalesce(F.sum("size").over(order), F.lit(0).cast("long")).alias("before"))
+
+    # texts are shuffled once, by (conv_id, block), before they multiply: the window keeps that partitioning
+    rendered = as_seen(turns.join(before.hint("merge"), ["conv_id", "block"])).withColumn("size", (F.length("header") + F.length("text") + len(CLOSE)).cast("long"))
+    inside = (Window.partitionBy("conv_id", "block", "perspective").orderBy(F.col("turn").asc_nulls_last(), "speaker", "text")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    start = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0).cast("long"))
+    return (rendered.withColumn("start", start).withColumn("end", F.col("start") + F.col("size"))
+            .withColumn("mask_start", F.col("start") + F.length("header")).withColumn("mask_end", F.col("mask_start") + F.length("text"))
+            .select("conv_id", "perspective", "turn", "role", "name", "header", "text", "start", "end", "mask_start", "mask_end", (F.col("role") == "assistant").alias("trained")))
 
 
 def dialogues(rotated: DataFrame) -> DataFrame:
