@@ -37,9 +37,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # runs of 16 and more, as [0-9a-f]+ finds them
 NAMED = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: A name, an assignment sign, and a quoted literal, a bare value or another name.
-PAIR = re.compile(r"""(?<![\w.-])["']?(?P<name>[A-Za-z_][\w.-]{0,80})["']?[ \t]*(?::=|=>|=(?!=)|:(?![:/]))[ \t]*"""
-                  r"""(?:"(?P<dq>[^"\n]{0,4096})"|'(?P<sq>[^'\n]{0,4096})'|(?P<bare>[^\s"'`,;(){}\[\]<>]{1,4096}))""", re.A)
+#: A name, an assignment sign, and a quoted literal, a bare value or another name, of any
+#: length; possessive, so that a long run is read once.
+PAIR = re.compile(r"""(?<![\w.-])["']?(?P<name>[A-Za-z_][\w.-]*+)["']?[ \t]*(?::=|=>|=(?!=)|:(?![:/]))[ \t]*"""
+                  r"""(?:"(?P<dq>[^"\n]*+)"|'(?P<sq>[^'\n]*+)'|(?P<bare>[^\s"'`,;(){}\[\]<>]++))""", re.A)
 NAME = re.compile(r"[A-Za-z_$][\w.]*\Z", re.A)
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: Weights of sensitive parts of names.
