@@ -13,7 +13,7 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .retrieve import UNKNOWN_TOOL
@@ -36,6 +36,17 @@ def questions(conversations: DataFrame) -> DataFrame:
                     F.col("text").alias("question"))
 
 
+def question_turns(conversations: DataFrame) -> DataFrame:
+    """question_id, pos, turn: the question that each position of a conversation serves, the
+    latest user turn at or before it. What precedes the first question counts to that one;
+    a conversation without user turns has no question, and null turns."""
+    asked = F.when(F.col("role") == "user", F.col("turn"))
+    by = Window.partitionBy("conv_id")
+    turn = F.coalesce(F.max(asked).over(by.orderBy("turn")), F.min(asked).over(by))
+    return conversations.select(F.col("conv_id").alias("question_id"), F.col("turn").alias("pos"),
+                                turn.alias("turn")).distinct()
+
+
 def load_template(path: str = PROMPT_PATH) -> list[dict]:
     """The chat template (a small config file, read once on the driver)."""
     with open(path, encoding="utf-8") as f:

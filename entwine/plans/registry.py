@@ -645,9 +645,11 @@ def tool_call_log(c: Ctx) -> DataFrame:
 
 @reg("retrieval_report")
 def retrieval_report(c: Ctx) -> DataFrame:
-    """Per question: the tool calls made for its turn and the retrieved context size;
-    ``answer`` is left null (no model call in this library)."""
-    calls = (_routed(c).groupBy("question_id", F.col("pos").alias("turn"))
+    """Per question: the tool calls made for it (its own turn's and those of the turns up
+    to the next question) and the retrieved context size; ``answer`` is left null (no
+    model call in this library)."""
+    calls = (_routed(c).join(RQ.question_turns(c.table("conversations")), ["question_id", "pos"])
+             .groupBy("question_id", "turn")
              .agg(F.count(F.lit(1)).alias("n_tool_calls"), F.sum(F.length("result")).cast("long").alias("context_chars")))
     asked = c.questions.select(F.col("conv_id").alias("question_id"), "turn", "question")
     n_answered = asked.agg(F.count(F.lit(1))).scalar()

@@ -106,3 +106,22 @@ def test_pluggable_embedder_runs_batched(spark):
     df = spark.createDataFrame([(1, "ab"), (2, "abcd"), (3, None)], "id long, text string")
     got = {r.id: list(r.embedding) for r in V.embed_with(df, "text", length_model, 2).collect()}
     assert got == {1: [2.0, 1.0], 2: [4.0, 1.0], 3: [0.0, 1.0]}
+
+
+def test_question_turns(spark):
+    rows = [(1, 0, "system"), (1, 1, "user"), (1, 2, "assistant"), (1, 3, "tool"), (1, 4, "user"), (1, 5, "assistant"),
+            (2, 0, "assistant"), (3, 0, "user"), (3, 1, "user")]
+    conv = spark.createDataFrame([(*r, "t") for r in rows], "conv_id long, turn long, role string, text string")
+    got = {(r.question_id, r.pos): r.turn for r in RQ.question_turns(conv).collect()}
+    assert got == {(1, 0): 1, (1, 1): 1, (1, 2): 1, (1, 3): 1, (1, 4): 4, (1, 5): 4, (2, 0): None, (3, 0): 0, (3, 1): 1}
+
+
+def test_report_counts_every_call_of_a_question(spark):
+    import __spark_entry__ as E
+    q, sf = E.queries(), "/root/testdata/sf0.001"
+    conv = spark.read.parquet(f"{sf}/conversations.parquet")
+    asked = conv.where("role = 'user'").select("conv_id").distinct()
+    calls = q["tool_call_route"](spark, sf).join(asked, F.col("question_id") == F.col("conv_id"))
+    want = calls.agg(F.count("*").alias("n"), F.sum(F.length("result")).alias("c")).first()
+    got = q["retrieval_report"](spark, sf).agg(F.sum("n_tool_calls").alias("n"), F.sum("context_chars").alias("c")).first()
+    assert (got.n, got.c) == (want.n, want.c) and want.n > conv.where("role = 'user'").count()
