@@ -29,13 +29,13 @@ from pyspark.sql import functions as F
 
 from .common import pieces
 
-# The wording of common licence notices.
+# The wording of common licence notices, a sentence each.
 TEMPLATES = {
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.",
+    "MIT": ["MIT License", "Released under the MIT License.", "Licensed under the MIT License.",
             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
             "SPDX-License-Identifier: MIT"],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.",
-                   "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+                   "you may not use this file except in compliance with the License.", "You may obtain a copy of the License at",
                    "SPDX-License-Identifier: Apache-2.0"],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.",
                 "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
@@ -51,9 +51,10 @@ TEMPLATES = {
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC0": ["To the extent possible under law, the author has waived all copyright and related rights to this work. CC0 1.0 Universal"],
+    "CC0": ["To the extent possible under law, the author has waived all copyright and related rights to this work.", "CC0 1.0 Universal"],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
-    "proprietary": ["All rights reserved. No part of this publication may be reproduced or distributed without the prior written permission of the publisher."],
+    "proprietary": ["All rights reserved.",
+                    "No part of this publication may be reproduced or distributed without the prior written permission of the publisher."],
 }
 FAMILIES = ["unknown", *TEMPLATES]
 COMMON = frozenset("a an and any are as at be by for from in is it may no not of on or out part that the this to under use with work you".split())

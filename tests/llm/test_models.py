@@ -3,6 +3,7 @@ import math
 import re
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +134,18 @@ def test_license_classifier_held_out():
     assert right >= 0.9 * len(cases)
 
 
+def test_license_short_notices_and_recall():
+    model = license_scan.train([["plain", "words", "of", "a", "text"], ["other", "words"]])
+    for family, templates in license_scan.TEMPLATES.items():
+        for t in templates:
+            assert [x[2] for x in license_scan.claims(f"Some heading\n{t}\n", model)[1]] == [family], t
+    notice = re.compile(r"all rights reserved|(?:licensed|released) under (?:the|cc)\b", re.I)
+    for t in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).to_pylist():
+        spans = license_scan.claims(t, model)[1]
+        for m in re.finditer(r"[^\n]+", t or ""):
+            assert not notice.search(m[0]) or any(a <= m.start() and m.end() <= b for a, b, _, _ in spans), m[0]
+
+
 def test_mixing(corpus, labels, empty, spark):
     found = mixing.rates(corpus.select("doc_id", "text"), labels).collect()
     ps = [c for c in found[0].asDict() if c.startswith("p_")]
