@@ -5,13 +5,15 @@ and ``unknown`` apart. It is trained on the driver on a bounded set: parts and n
 copies of the templates below for the families, and at most ``BACKGROUND`` paragraphs
 of the corpus for ``unknown`` (those of the documents whose ids have the least hashes).
 A temperature fitted on held-out examples calibrates the probabilities; a paragraph whose
-best family stays under ``MIN_PROBABILITY`` is unknown. A predicted family counts if the
-paragraph holds at least ``MIN_SHARE`` of the bigrams of one of its templates. Every
-paragraph of every document is judged; one without any key word of a template can't hold
-that share, so it needs no score.
-
-Defined results: paragraphs are lines with a word (runs of letters and digits, lower
-case). A null or blank text has none. Every row is scanned by itself, so repeated rows
+best family stays under ``MIN_PROBABILITY`` is unknown. Judged are the runs of a paragraph's words
+where a window as long as a template holds at least ``MIN_SHARE`` of its bigrams; a predicted family
+counts if it is one that claims the run. Every paragraph of every document is looked through; one
+without any key word of a template can't hold that share, so it needs no score.
+
+Defined results: words are runs of letters and digits, in lower case. A paragraph is
+consecutive lines with a word beside signs of comments, so notices may be wrapped; a
+notice's span is that of the lines it covers. ``n_paragraphs`` counts lines with a word.
+A null or blank text has none. Every row is scanned by itself, so repeated rows
 repeat their result. Spans are code points, end exclusive. Without background
 paragraphs (empty table) the model is trained on made-up ones of template words.
 """
@@ -20,6 +22,8 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +48,9 @@ TEMPLATES = {
                 "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License",
                 "SPDX-License-Identifier: GPL-2.0-only"],
     "LGPL": ["This library is licensed under the GNU Lesser General Public License.",
-             "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
+             "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+             "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License",
+             "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"],
     "BSD": ["Released under the BSD 3-Clause License.",
             "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
@@ -63,6 +69,8 @@ COMMON = frozenset("a an and any are as at be by for from in is it may no not of
 BACKGROUND, COPIES = 4000, 60
 MIN_PROBABILITY, MIN_SHARE = 0.5, 0.6
 WORD = re.compile(r"[^\W_]+")
+#: What opens a line of a comment.
+PREFIX = re.compile(r"\s*(?:/\*+|\*+/?|//+|#+|;+|--+|%+|<!--|(?:rem|dnl)\b)\s*", re.I)
 
 
 def words(line: str) -> list[str]:
@@ -74,6 +82,9 @@ def ngrams(ws: list[str]) -> list[str]:
 
 
 BIGRAMS = {f: [frozenset(zip(w, w[1:])) for w in map(words, ts)] for f, ts in TEMPLATES.items()}
+#: (family, bigrams, words) of each template, and the templates that hold a bigram.
+FORMS = [(f, frozenset(zip(w, w[1:])), len(w)) for f, ts in TEMPLATES.items() for w in map(words, ts)]
+TEMPLATES_OF = {g: [t for t, (_, own, _) in enumerate(FORMS) if g in own] for _, grams, _ in FORMS for g in grams}
 KEYS = frozenset(w for ts in TEMPLATES.values() for t in ts for w in words(t)) - COMMON
 
 
@@ -151,23 +162,77 @@ def train(paragraphs: list[list[str]], copies: int = COPIES, rounds: int = 250,
     return Model(vocabulary, w, c, min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss))
 
 
+def windows(ws: list[str]) -> list[tuple[int, int, frozenset[str]]]:
+    """(first word, end, families) of the runs of words that templates claim: windows as long
+    as a template that hold ``MIN_SHARE`` of its bigrams, the best of those that overlap; windows of
+    several templates that overlap are one run."""
+    hits: dict[int, list[tuple[int, tuple[str, str]]]] = {}
+    for i, g in enumerate(zip(ws, ws[1:])):
+        for t in TEMPLATES_OF.get(g, ()):
+            hits.setdefault(t, []).append((i, g))
+    runs = []
+    for t, at in hits.items():
+        family, grams, length = FORMS[t]
+        if len(at) < MIN_SHARE * len(grams):
+            continue
+        counts: Counter = Counter()
+        j, fits = 0, []
+        for i, g in at:
+            while j < len(at) and at[j][0] <= i + length - 2:
+                counts[at[j][1]] += 1
+                j += 1
+            if len(counts) >= MIN_SHARE * len(grams):
+                fits.append((-len(counts), i, at[j - 1][0] + 2))
+            counts[g] -= 1
+            if not counts[g]:
+                del counts[g]
+        taken: list[tuple[int, int]] = []
+        for _, x, y in sorted(fits):
+            k = bisect_left(taken, (x, y))
+            if (not k or taken[k - 1][1] <= x) and (k == len(taken) or y <= taken[k][0]):
+                taken.insert(k, (x, y))
+        runs += [(x, y, family) for x, y in taken]
+    out: list[tuple[int, int, frozenset[str]]] = []
+    for x, y, family in sorted(runs):
+        if out and x < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], y), out[-1][2] | {family})
+        else:
+            out.append((x, y, frozenset([family])))
+    return out
+
+
 def claims(text: str | None, model: Model) -> tuple[int, list[tuple[int, int, str, float]]]:
-    """Number of paragraphs, and (start, end, family, probability) of the licensed ones."""
+    """Number of lines with a word, and (start, end, family, probability) of the notices: the
+    lines that a notice covers."""
     if not text:
         return 0, []
     lines = text.split("\n")
-    low = text.lower()
-    if KEYS.isdisjoint(WORD.findall(low)):
+    if KEYS.isdisjoint(WORD.findall(text.lower())):
         return sum(WORD.search(x) is not None for x in lines), []
     n, at, found = 0, 0, []
-    for line in lines:
-        ws = words(line)
-        n += bool(ws)
+    ws: list[str] = []  # words of the paragraph so far
+    parts: list[tuple[int, int, int]] = []  # first word, start and end of each of its lines
+
+    def close() -> None:
         if ws and not KEYS.isdisjoint(ws):
-            family, p = model.predict(ws)
-            if p >= MIN_PROBABILITY and share(ws, family) >= MIN_SHARE:
-                found.append((at, at + len(line), family, p))
+            first = [x for x, _, _ in parts]
+            for x, y, families in windows(ws):
+                family, p = model.predict(ws[x:y])
+                if p >= MIN_PROBABILITY and family in families:
+                    found.append((parts[bisect_right(first, x) - 1][1], parts[bisect_right(first, y - 1) - 1][2], family, p))
+        ws.clear()
+        parts.clear()
+
+    for line in lines:
+        own = words(PREFIX.sub("", line, count=1))
+        if own:
+            parts.append((len(ws), at, at + len(line)))
+            ws += own
+        else:
+            close()
+        n += WORD.search(line) is not None
         at += len(line) + 1
+    close()
     return n, found
 
 

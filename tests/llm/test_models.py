@@ -146,6 +146,27 @@ def test_license_short_notices_and_recall():
             assert not notice.search(m[0]) or any(a <= m.start() and m.end() <= b for a, b, _, _ in spans), m[0]
 
 
+def test_license_wrapped_notices():
+    model = license_scan.train([["plain", "words", "of", "a", "text"], ["other", "words"]])
+    gpl = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by",
+           "the Free Software Foundation, either version {} of the License, or", "(at your option) any later version."]
+    bsd = ["Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions are", "met:"]
+    lgpl = ["under the terms of the GNU Lesser General Public", "License as published by the Free Software Foundation; either", "version 2.1 of the License"]
+    cases = [("GPL-3.0", gpl[:2] + [gpl[2].format(3)] + gpl[3:], 1, 2), ("GPL-2.0", [gpl[0], gpl[1], gpl[2].format(2).replace(",", ";", 1), gpl[3]], 1, 2), ("BSD", bsd, 0, 2),
+             ("LGPL", lgpl, 0, 2)]
+    for family, lines, a, b in cases:
+        for prefix in ("", " * ", "# ", "// ", "REM "):
+            own = [prefix + x for x in lines]
+            text = "\n".join(["intro words", prefix.rstrip(), *own, prefix.rstrip(), "and more words"])
+            n, got = license_scan.claims(text, model)
+            assert [text[x:y] for x, y, _, _ in got] == ["\n".join(own[a:b + 1])] and got[0][2] == family, (family, prefix, got)
+    filler = " ".join(["unrelated prose about ships and harbours"] * 200)  # a long paragraph, and two notices in one
+    text = f"{filler} {' '.join(bsd)} {filler}"
+    assert [x[2] for x in license_scan.claims(text, model)[1]] == ["BSD"]
+    text = "Released under the MIT License.\nLicensed under the Apache License, Version 2.0.\nAll rights reserved."
+    assert [(text[a:b], f) for a, b, f, _ in license_scan.claims(text, model)[1]] == list(zip(text.split("\n"), ["MIT", "Apache-2.0", "proprietary"]))
+
+
 def test_mixing(corpus, labels, empty, spark):
     found = mixing.rates(corpus.select("doc_id", "text"), labels).collect()
     ps = [c for c in found[0].asDict() if c.startswith("p_")]
