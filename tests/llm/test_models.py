@@ -195,6 +195,22 @@ def test_secrets():
         assert secret_scan.scan(clean) == []
 
 
+def test_secret_syntax():
+    key = "Zk93jfA8s0dkfj2k"
+    for line in ('db_pwd: str = "{}"', "const authKey: string = '{}'", "x: Optional[str] = None; db_pwd: dict[str, str] = '{}'", 'config["db_pwd"] = "{}"',
+                 "os.environ['AUTH_KEY'] = '{}'", "<pwd>{}</pwd>", '<db:pwd kind="x"> {} </db:pwd>', "pwd = `{}`", 'pwd = f"{}"', "pwd = rb'{}'", 'pwd = ("{}")',
+                 'pwd = (\n    "{}"\n)', 'pwd =\n    "{}";', 'pwd = """{}"""', 'DB_PWD = A\nA = "{}"', 'DB_PWD = B\nB = A\nA = "{}"', 'pwd: {}', 'export DB_PWD={}',
+                 "note = 'do: x' # pwd = '{}'", 'a " stray quote pwd = "{}"', "it's here: pwd = '{}', isn't it"):
+        text = line.replace("{}", key)
+        assert [text[a:b] for a, b, k in secret_scan.scan(text) if k == "literal"] == [key], line
+    text = 'pwd = ("Zk93jf" "A8s0d"\n "kfj2k")'
+    assert [(text[a:b], k) for a, b, k in secret_scan.scan(text)] == [('Zk93jf" "A8s0d"\n "kfj2k', "literal")]
+    text = r'pwd = "Zk93jf\"A8s0dkfj2k"'
+    assert [(text[a:b], k) for a, b, k in secret_scan.scan(text)] == [(r'Zk93jf\"A8s0dkfj2k', "literal")]
+    for clean in ("A = B\nB = A\npwd = A", 'db_pwd: SecretManagerClient = None', 'pwd:\n  "some_Key_name1": 1'):
+        assert secret_scan.scan(clean) == [], clean
+
+
 def test_secret_digest(corpus, rows, empty):
     got = secret_scan.digest(corpus).collect()
     want = Counter()
