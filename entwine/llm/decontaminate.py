@@ -1,14 +1,15 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-Method: a window of a document has as many words as an item and is aligned on a shared
-run of five-word shingles: where shingle ``p`` of the document equals shingle ``q`` of
-an item, the window starts at word ``p - q`` (moved inside the document's ends). A
-window that shares no shingle with the item has similarity 0, so no other needs a
-look. Windows and items get a 64-bit SimHash of their shingles, repeats included. Sixteen blocks of
-four bits index them: fingerprints at most 15 bits apart agree in a block, so the
-join on (words, block, bits) finds all pairs within the radius; the first agreeing
-block alone reports a pair. Candidates are then verified by the weighted Jaccard similarity
-of their shingles (least counts over largest counts).
+Method: a window of a document has as many words as an item. Where shingle ``p`` of the
+document (a run of five words) equals shingle ``q`` of the item, ``p - q`` is an aligned
+start. All starts between an item's least and largest aligned one are taken (moved inside
+the document's ends) whose window holds as many of the item's shingles as the similarity
+needs; a best window is among them, since one left of all its aligned starts can move right
+without loss, and likewise to the left. Windows and items get a 64-bit SimHash of their
+shingles, repeats included. Thirty-two blocks of two bits index them: fingerprints at most 31 bits
+apart agree in a block, so the join on (item, block, bits) finds all pairs within the
+radius; the first agreeing block alone reports a pair. Candidates are then verified by the
+weighted Jaccard similarity of their shingles (least counts over largest counts).
 
 Native DataFrame code throughout. Items are the small side: they are broadcast if a
 count shows that they have at most ``BROADCAST_ROWS`` shingles, else joins shuffle.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, checkpointed, small, words, written
 
-SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 15, 16
+SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 31, 32
 
 
 def with_shingles(df: DataFrame, name: str, size: int = SHINGLE) -> DataFrame:
@@ -66,23 +67,40 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def items_of(benchmark: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(item_id, ish, ifp): the items with their shingles' hashes and fingerprint."""
+    """(item_id, ish, ik, ifp): the items with their shingles' hashes, a hash of these and fingerprint."""
     items = with_shingles(benchmark.where(F.col("item_id").isNotNull()).select("item_id", "text"), "ish", size)
-    return checkpointed(checkpointed(items.where(F.size("ish") > 0).distinct()).withColumn("ifp", simhash(F.col("ish"))))
-
-
-def windows_of(docs: DataFrame, items: DataFrame, size: int = SHINGLE, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(doc_id, start, n, wsh): the aligned windows of ``n`` shingles, each once. Shared
-    shingles are found on narrow rows; only documents that have some are read again."""
-    own = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    marks = items.select(F.size("ish").alias("n"), F.posexplode("ish").alias("q", "h")).distinct()
-    spots = with_shingles(own, "sh", size).select("doc_id", F.size("sh").alias("len"), F.posexplode_outer("sh").alias("p", "h"))
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("len") - F.col("n")))
-    at = spots.join(small(marks, rows), "h").select("doc_id", start.alias("start"), "n").distinct()
-    lists = written(at.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "decontaminate-spans")
-    hit = with_shingles(own.join(small(lists, rows), "doc_id").select("doc_id", "text", "spans"), "sh", size)
-    cut = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["n"].alias("n"), F.slice("sh", s["start"] + 1, s["n"]).alias("wsh")))
-    return hit.select("doc_id", F.inline_outer(cut)).dropDuplicates(["doc_id", "start", "n"])
+    return checkpointed(checkpointed(items.where(F.size("ish") > 0).distinct()).withColumn("ik", F.xxhash64("ish")).withColumn("ifp", simhash(F.col("ish"))))
+
+
+def starts(least: float) -> Column:
+    """The starts of an item's windows that can reach the similarity ``least``. A window of ``n`` shingles
+    needs ``need`` that the item has, so some ``need`` consecutive marks lie inside it; of the
+    starts, those between the least and the largest aligned one are enough."""
+    n, last = F.col("n"), F.greatest(F.lit(0), F.col("len") - F.col("n"))
+    inside = lambda x: F.greatest(F.lit(0), F.least(x, last))
+    need = F.greatest(F.lit(1), F.ceil(F.lit(least) * (n + F.least(n, F.col("len"))) / F.lit(1 + least) - F.lit(1e-9)).cast("int"))
+    spans = F.transform("ps", lambda p, i: F.struct(
+        F.greatest(inside(F.col("lo")), F.get("ps", i + need - 1) - n + 1).alias("a"), F.least(inside(F.col("hi")), p).alias("b"),
+        F.get("ps", i + need - 1).isNotNull().alias("full")))
+    return F.array_distinct(F.flatten(F.transform(F.filter(spans, lambda s: s["full"] & (s["a"] <= s["b"])), lambda s: F.sequence(s["a"], s["b"]))))
+
+
+def windows_of(docs: DataFrame, items: DataFrame, size: int = SHINGLE, least: float = SIMILARITY, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(doc_id, k, item_id, ik, start, n, wsh): an item's windows of ``n`` shingles, each once; ``k`` and
+    ``ik`` are hashes of the text and of the item's shingles. Shared shingles are found on
+    narrow rows; only documents that have enough are read again."""
+    own = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("k"), "text")
+    marks = (items.select("item_id", "ik", F.size("ish").alias("n"), F.posexplode("ish").alias("q", "h"))
+             .groupBy("item_id", "ik", "n", "h").agg(F.min("q").alias("q0"), F.max("q").alias("q1")))
+    spots = with_shingles(own, "sh", size).select("doc_id", "k", F.size("sh").alias("len"), F.posexplode_outer("sh").alias("p", "h"))
+    at = (spots.join(small(marks, rows), "h").groupBy("doc_id", "k", "len", "item_id", "ik", "n")
+          .agg(F.array_sort(F.collect_set("p")).alias("ps"), F.min(F.col("p") - F.col("q1")).alias("lo"), F.max(F.col("p") - F.col("q0")).alias("hi"))
+          .select("doc_id", "k", "item_id", "ik", "n", starts(least).alias("starts")).where(F.size("starts") > 0))
+    lists = written(at.groupBy("doc_id", "k").agg(F.collect_list(F.struct("item_id", "ik", "n", "starts")).alias("spans")), "decontaminate-spans")
+    hit = with_shingles(own.join(small(lists, rows), ["doc_id", "k"]).select("doc_id", "k", "text", "spans"), "sh", size)
+    cut = F.flatten(F.transform("spans", lambda s: F.transform(s["starts"], lambda x: F.struct(
+        s["item_id"].alias("item_id"), s["ik"].alias("ik"), x.alias("start"), s["n"].alias("n"), F.slice("sh", x + 1, s["n"]).alias("wsh")))))
+    return hit.select("doc_id", "k", F.inline_outer(cut)).dropDuplicates(["doc_id", "k", "item_id", "ik", "start"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, least: float = SIMILARITY,
@@ -93,15 +111,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, lea
         raise ValueError(f"{BLOCKS} blocks find all pairs up to {BLOCKS - 1} bits apart")
     items = items_of(benchmark, size)
     # each step that computes on arrays is written, so that no later step repeats it
-    found = written(windows_of(docs, items, size, rows), "decontaminate-windows")
+    found = written(windows_of(docs, items, size, least, rows), "decontaminate-windows")
     found = written(found.withColumn("wfp", simhash(F.col("wsh"))), "decontaminate-prints")
-    wide = items.select("item_id", "ifp", F.size("ish").alias("n"), F.posexplode(blocks(F.col("ifp"))).alias("block", "bits"))
+    wide = items.select("item_id", "ik", "ifp", F.posexplode(blocks(F.col("ifp"))).alias("block", "bits"))
     agree = F.array_position(blocks(F.col("wfp").bitwiseXOR(F.col("ifp"))), F.lit(0).cast("long"))
-    near = (found.select("doc_id", "start", "n", "wfp", F.posexplode(blocks(F.col("wfp"))).alias("block", "bits"))
-            .join(small(wide, rows), ["n", "block", "bits"])
+    window = ["doc_id", "k", "item_id", "ik", "start"]
+    near = (found.select(*window, "wfp", F.posexplode(blocks(F.col("wfp"))).alias("block", "bits"))
+            .join(small(wide, rows), ["item_id", "ik", "block", "bits"])
             .where((F.bit_count(F.col("wfp").bitwiseXOR(F.col("ifp"))) <= radius) & (agree == F.col("block") + 1))
-            .select("doc_id", "start", "n", "wfp", "item_id", F.bit_count(F.col("wfp").bitwiseXOR(F.col("ifp"))).alias("x")))
-    pairs = written(near.join(found, ["doc_id", "start", "n", "wfp"]).join(small(items.select("item_id", "ish"), rows), "item_id")
+            .select(*window, F.bit_count(F.col("wfp").bitwiseXOR(F.col("ifp"))).alias("x")))
+    pairs = written(near.join(found, window).join(small(items.select("item_id", "ik", "ish"), rows), ["item_id", "ik"])
                     .withColumn("similarity", similarity(F.col("wsh"), F.col("ish"))), "decontaminate-pairs").where(F.col("similarity") >= least)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("at"), (-F.col("x")).alias("near")))
     return (pairs.groupBy("doc_id", "item_id").agg(best.alias("b"))

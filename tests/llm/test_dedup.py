@@ -150,6 +150,29 @@ def test_empty(empty, run):
     assert run(empty).count() == 0
 
 
+def test_decontaminate_between_aligned_starts(spark):
+    item = [f"w{i}" for i in range(104)]
+    doc = ["x0", "x1", "x2", *item[3:52], *(f"y{i}" for i in range(6)), *item[52:101], "z0", "z1", "z2"]
+    around = [f"a{i}" for i in range(20)]
+    two = [(1, " ".join(around + doc + around)), (2, "b c d e f g h i j"), (2, " ".join(item)), (3, " ".join(item[52:] + item[:52])), (3, "b c d e f g h i j")]
+    docs = spark.createDataFrame(two, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    for bound in (1_000_000, 0):
+        got = {r.doc_id: (r.start, round(r.similarity, 3)) for r in decontaminate.contaminated(docs, bench, rows=bound).collect()}
+        assert got == {1: (23, 0.818), 2: (0, 1.0), 3: (0, 0.923)}
+
+
+def test_decontaminate_radius():
+    """Random bags of weighted Jaccard similarity 0.8 or little more stay within the radius."""
+    rng = np.random.default_rng(3)
+    lost = pairs = 0
+    for n in (9, 18, 45, 90):
+        bits = rng.integers(0, 2, (3000, n + n // 9, 64), dtype=np.int8)
+        a, b = (2 * bits[:, x:x + n].sum(1, dtype=np.int16) > n for x in (0, n // 9))  # n * 8 / 9 in common
+        lost, pairs = lost + int(((a != b).sum(1) > decontaminate.RADIUS).sum()), pairs + 3000
+    assert lost == 0 and pairs == 12000
+
+
 def test_empty_benchmark(spark, corpus, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(corpus, none).count() == 0
