@@ -3,7 +3,8 @@ whole table."""
 
 from __future__ import annotations
 
-from . import chat_rotation, decontaminate, kn_quality, license_scan, line_dedup, mixing, quality_rules, secret_scan, simhash_dedup, substring_dedup
+from . import (chat_rotation, decontaminate, kn_quality, language_id, license_scan, line_dedup, mixing, quality_rules, secret_scan, simhash_dedup, spelling,
+               substring_dedup, vector_codes)
 from .common import table
 
 QUERIES = {
@@ -17,10 +18,15 @@ QUERIES = {
     "op8_secret_scan": lambda spark, sf_dir: secret_scan.digest(table(spark, sf_dir, "documents")),
     "op9_line_dedup": lambda spark, sf_dir: line_dedup.digest(table(spark, sf_dir, "documents")),
     "op10_decontaminate": lambda spark, sf_dir: decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op11_language_id": lambda spark, sf_dir: language_id.identify(table(spark, sf_dir, "documents")),
+    "op12_spelling_variants": lambda spark, sf_dir: spelling.digest(table(spark, sf_dir, "documents")),
+    "op13_vector_codes": lambda spark, sf_dir: vector_codes.digest(table(spark, sf_dir, "embeddings")),
 }
 
 ORACLE = {
     "op4_substring_dedup": substring_dedup.ORACLE,
     "op7_chat_rotation": chat_rotation.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
+    "op12_spelling_variants": spelling.ORACLE,
+    "op13_vector_codes": vector_codes.ORACLE,
 }
