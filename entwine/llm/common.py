@@ -62,6 +62,11 @@ def mark_trusted(docs: DataFrame, labels: DataFrame, rows: int = BROADCAST_ROWS)
             .withColumn("trusted", F.col("_id").isNotNull()).drop("_id"))
 
 
+def text_hash() -> F.Column:
+    """What tells rows that repeat a ``doc_id`` apart."""
+    return F.xxhash64("text")
+
+
 def words(text) -> F.Column:
     """Array of the words of a text column; null and blank give none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")

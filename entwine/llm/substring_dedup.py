@@ -16,8 +16,9 @@ K-mers, paths and windows are told apart by 64-bit hashes, always within one
 
 Defined results: a word is a run of anything but ASCII white space, unchanged; a null or
 blank text has none. A window goes if its words also start in a document of smaller
-``doc_id``; repeats inside one document stay. Rows that repeat a ``doc_id`` must repeat
-its text and are treated alike. Rows without ``doc_id`` stay whole and count for nothing.
+``doc_id``; repeats inside one document stay. Rows that repeat a ``doc_id`` are told apart by a
+hash of their text: each loses its own windows, and equal rows are treated alike. Rows
+without ``doc_id`` stay whole and count for nothing.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, split_words, written
+from .common import pieces, split_words, text_hash, written
 
 WINDOW, KMER = 50, 10
 #: Odd, so that its powers have inverses modulo 2**64.
@@ -95,24 +96,26 @@ def paths(stream: Stream, window: int, kmer: int) -> tuple[np.ndarray, ...]:
 
 
 def occurrences(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
-    """(doc_id, start, m, a, c): every path of every document, with its k-mer ``a``."""
+    """(doc_id, t, start, m, a, c): every path of every document, with its k-mer ``a``; ``t`` is
+    a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches):
-            text, start, m, a, c = paths(Stream(part.column(1)), window, kmer)
-            ids = np.asarray(part.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array(start.astype(np.int32)), pa.array(m.astype(np.int32)),
-                                              pa.array(a.view(np.int64)), pa.array(c.view(np.int64))], ["doc_id", "start", "m", "a", "c"])
+            text, start, m, a, c = paths(Stream(part.column(2)), window, kmer)
+            ids, t = np.asarray(part.column(0)), np.asarray(part.column(1))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array(t[text]), pa.array(start.astype(np.int32)), pa.array(m.astype(np.int32)),
+                                              pa.array(a.view(np.int64)), pa.array(c.view(np.int64))], ["doc_id", "t", "start", "m", "a", "c"])
 
-    return (docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
-            .mapInArrow(run, "doc_id long, start int, m int, a long, c long"))
+    return (docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), text_hash().alias("t"), "text")
+            .mapInArrow(run, "doc_id long, t long, start int, m int, a long, c long"))
 
 
 def branch_windows(docs: DataFrame, sources: DataFrame, window: int) -> DataFrame:
-    """(a, c, off, w, first): the windows of the paths in ``sources`` (a, c, first, doc_id,
+    """(a, c, off, w, first): the windows of the paths in ``sources`` (a, c, doc_id, t,
     start, m), read from their first source."""
-    wanted = sources.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("start", "m", "a", "c")).alias("paths"))
-    found = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "paths")
+    wanted = sources.groupBy(F.col("doc_id").alias("__id"), F.col("t").alias("__t")).agg(F.collect_list(F.struct("start", "m", "a", "c")).alias("paths"))
+    found = (docs.select(F.col("doc_id").cast("long"), text_hash().alias("t"), "text").join(wanted, (F.col("doc_id") == F.col("__id")) & (F.col("t") == F.col("__t")))
+             .select("doc_id", "text", "paths"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches):
@@ -130,7 +133,7 @@ def branch_windows(docs: DataFrame, sources: DataFrame, window: int) -> DataFram
 
 
 def removed_windows(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
-    """(doc_id, starts): for each document that loses words, the starts of the removed
+    """(doc_id, t, starts): for each document that loses words, the starts of the removed
     windows (an array that its length bounds)."""
     if not 1 <= kmer <= window:
         raise ValueError("a window holds at least one k-mer")
@@ -139,23 +142,23 @@ def removed_windows(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) ->
     shared = written(occ.groupBy("a").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("c").alias("c0"), F.max("c").alias("c1"))
                      .where("first < last").select("a", "first", (F.col("c0") != F.col("c1")).alias("branches")), "repeat-kmers")
     occ = written(occ.join(shared, "a"), "repeat-shared")
-    sources = (occ.where("branches").groupBy("a", "c").agg(F.min(F.struct("doc_id", "start", "m")).alias("s"))
-               .select("a", "c", "s.doc_id", "s.start", "s.m"))
+    sources = (occ.where("branches").groupBy("a", "c").agg(F.min(F.struct("doc_id", "t", "start", "m")).alias("s"))
+               .select("a", "c", "s.doc_id", "s.t", "s.start", "s.m"))
     windows = written(branch_windows(docs, sources, window), "repeat-windows")
     least = written(windows.groupBy("a", "w").agg(F.min("first").alias("least")), "repeat-least")
     verdict = written(windows.join(least, ["a", "w"]).groupBy("a", "c")
                .agg(F.collect_set(F.struct("off", "least")).alias("offs")), "repeat-verdicts")  # as many as the path has windows
     plain = occ.where(~F.col("branches") & (F.col("doc_id") > F.col("first"))).select(
-        "doc_id", F.sequence(F.col("start"), F.col("start") + F.col("m") - 1).alias("starts"))
+        "doc_id", "t", F.sequence(F.col("start"), F.col("start") + F.col("m") - 1).alias("starts"))
     branched = (occ.where("branches").join(verdict, ["a", "c"])
-                .select("doc_id", F.expr("transform(filter(offs, o -> o.least < doc_id), o -> start + o.off)").alias("starts"))
+                .select("doc_id", "t", F.expr("transform(filter(offs, o -> o.least < doc_id), o -> start + o.off)").alias("starts"))
                 .where(F.size("starts") > 0))
-    return plain.unionByName(branched).groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    return plain.unionByName(branched).groupBy("doc_id", "t").agg(F.flatten(F.collect_set("starts")).alias("starts"))
 
 
 def _cut(docs: DataFrame, window: int, kmer: int) -> DataFrame:
-    gone = removed_windows(docs, window, kmer).withColumnRenamed("doc_id", "__id")
-    return docs.join(gone, F.col("doc_id") == F.col("__id"), "left").drop("__id").withColumnRenamed("starts", "__starts")
+    gone = removed_windows(docs, window, kmer).select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), F.col("starts").alias("__starts"))
+    return docs.join(gone, (F.col("doc_id") == F.col("__id")) & (text_hash() == F.col("__t")), "left").drop("__id", "__t")
 
 
 def _masks(part: pa.RecordBatch, window: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
