@@ -12,8 +12,8 @@ Native DataFrame code throughout.
 
 Defined results: a null or empty text is one empty line. Lines whose key (ASCII white
 space stripped at both ends, A-Z lower-cased) has fewer than ``min_chars`` code
-points stay. ``doc_id`` names a document: rows that repeat one must repeat its text,
-and each gets the same bitmap. Rows without ``doc_id`` stay whole and count for
+points stay. Rows that repeat a ``doc_id`` are told apart by a hash of their text: each
+gets its own bitmap, and equal rows the same one. Rows without ``doc_id`` stay whole and count for
 nothing. Other columns are passed through.
 """
 
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, text_hash
 
 MIN_CHARS = 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -37,7 +37,8 @@ def line_key(line) -> F.Column:
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row (doc_id, n_dropped, bitmap) for each document that loses lines.
+    """One row (doc_id, t, n_dropped, bitmap) for each document that loses lines; ``t`` is a hash
+    of its text, taken below the generator, so once a text.
 
     ``bitmap`` is an array of 64-bit words, bit ``i % 64`` of word ``i div 64`` set if
     line ``i`` goes; words after the last one with a bit are left out, and so are
@@ -46,30 +47,31 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     spark = docs.sparkSession
     n = partitions(spark)
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(max(n, 8))).cast("int")
-    keys = (docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode_outer(lines_of(F.col("text"))).alias("pos", "line"))
-            .select("doc_id", "pos", line_key(F.col("line")).alias("key"))
+    keys = (docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", text_hash().alias("t"))
+            .select("doc_id", "t", F.posexplode_outer(lines_of(F.col("text"))).alias("pos", "line"))
+            .select("doc_id", "t", "pos", line_key(F.col("line")).alias("key"))
             .where(F.length("key") >= min_chars)
-            .select("doc_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(1)).alias("h2"), salt.alias("salt")))
+            .select("doc_id", "t", "pos", F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(1)).alias("h2"), salt.alias("salt")))
     by_salt = Window.partitionBy("h1", "h2", "salt").orderBy("doc_id", "pos").rowsBetween(Window.unboundedPreceding, 0)
     streamed = keys.repartitionByRange(n, "h1", "h2", "salt").withColumn("first", F.first("doc_id").over(by_salt))
     # one row for each (hash, salt) and document: its positions, for the second step
-    late = streamed.where(F.col("doc_id") > F.col("first")).select("doc_id", "pos")
-    heads = streamed.where(F.col("doc_id") == F.col("first")).select("h1", "h2", "doc_id", "pos")
+    late = streamed.where(F.col("doc_id") > F.col("first")).select("doc_id", "t", "pos")
+    heads = streamed.where(F.col("doc_id") == F.col("first")).select("h1", "h2", "doc_id", "t", "pos")
     both = Window.partitionBy("h1", "h2")
-    late_heads = heads.withColumn("first", F.min("doc_id").over(both)).where(F.col("doc_id") > F.col("first")).select("doc_id", "pos")
-    bits = (late.unionByName(late_heads).select("doc_id", F.expr("cast(pos div 64 as int)").alias("w"), F.expr("shiftleft(1L, cast(pos % 64 as int))").alias("b"))
-            .groupBy("doc_id", "w").agg(F.bit_or("b").alias("b")))
-    return (bits.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("m"), F.max("w").alias("last"),
+    late_heads = heads.withColumn("first", F.min("doc_id").over(both)).where(F.col("doc_id") > F.col("first")).select("doc_id", "t", "pos")
+    bits = (late.unionByName(late_heads).select("doc_id", "t", F.expr("cast(pos div 64 as int)").alias("w"), F.expr("shiftleft(1L, cast(pos % 64 as int))").alias("b"))
+            .groupBy("doc_id", "t", "w").agg(F.bit_or("b").alias("b")))
+    return (bits.groupBy("doc_id", "t").agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("m"), F.max("w").alias("last"),
                                        F.sum(F.bit_count("b")).cast("long").alias("n_dropped"))
-            .select("doc_id", "n_dropped",
+            .select("doc_id", "t", "n_dropped",
                     F.expr("transform(sequence(0, last), i -> coalesce(m[i], 0L))").alias("bitmap")))
 
 
 def with_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with ``__dropped`` (long) and ``__bitmap`` (null where all lines stay)."""
-    found = keep_bitmaps(docs, min_chars).select(F.col("doc_id").alias("__id"), F.col("n_dropped").alias("__n"), F.col("bitmap").alias("__bitmap"))
-    return (docs.join(found, F.col("doc_id") == F.col("__id"), "left")
-            .withColumn("__dropped", F.coalesce("__n", F.lit(0).cast("long"))).drop("__id", "__n"))
+    found = keep_bitmaps(docs, min_chars).select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), F.col("n_dropped").alias("__n"), F.col("bitmap").alias("__bitmap"))
+    return (docs.join(found, (F.col("doc_id") == F.col("__id")) & (text_hash() == F.col("__t")), "left")
+            .withColumn("__dropped", F.coalesce("__n", F.lit(0).cast("long"))).drop("__id", "__t", "__n"))
 
 
 def kept_text() -> F.Column:
