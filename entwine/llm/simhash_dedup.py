@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, partitions, pieces, written
+from .common import checkpointed, partitions, pieces, text_hash, written
 
 SHINGLE, MAX_BITS = 3, 3
 #: Rows of a block; two blocks meet in a task at a time.
@@ -57,14 +57,14 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) with ``fp`` as a signed long, for every row."""
+    """(doc_id, t, fp) with ``fp`` as a signed long, for every row; ``t`` is a hash of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches):
-            fps = np.array([fingerprint(t.as_py(), size) for t in part.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), size) for t in part.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps.view(np.int64))], ["doc_id", "t", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), text_hash().alias("t"), "text").mapInArrow(run, "doc_id long, t long, fp long")
 
 
 # ---------------------------------------------------------------- anchors of a 32-bit half
@@ -201,21 +201,36 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def classes(rows: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
+    """(fp, first, c): each fingerprint of ``rows``, its smallest ``doc_id`` and its component."""
+    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
+    found = components(written(links(nodes, max_bits, block), "simhash-links"))
+    return checkpointed(nodes.join(found, nodes.fp == found.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("c")))
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``."""
     rows = written(fingerprints(docs, size), "simhash-fp")
-    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
-    found = components(written(links(nodes, max_bits, block), "simhash-links"))
-    where = checkpointed(nodes.join(found, nodes.fp == found.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("c")))
+    where = classes(rows, max_bits, block)
     least = where.groupBy("c").agg(F.min("first").alias("component_id"))
     return rows.join(where.join(least, "c").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with the smallest ``doc_id`` of each component only; rows without
-    ``doc_id`` stay."""
-    gone = near_duplicates(docs, size, max_bits).where("doc_id > component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one row of each component: of the smallest ``doc_id``, then the smallest
+    hash of the text; of equal rows one stays. Rows without ``doc_id`` all stay."""
+    rows = written(fingerprints(docs, size), "simhash-fp").where("doc_id is not null")
+    best = (rows.groupBy("fp").agg(F.min(F.struct("doc_id", "t")).alias("best")).join(classes(rows, max_bits).select("fp", "c"), "fp")
+            .groupBy("c").agg(F.min("best").alias("best")).select("best.doc_id", "best.t"))
+    each = rows.groupBy("doc_id", "t").agg(F.count("*").alias("n"))
+    gone = each.join(best, ["doc_id", "t"], "left_anti").select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"))
+    same = (F.col("doc_id") == F.col("__id")) & (text_hash() == F.col("__t"))
+    stay = docs.join(gone, same, "left_anti")
+    again = checkpointed(each.where("n > 1").join(best, ["doc_id", "t"], "left_semi").select(F.col("doc_id").alias("__id"), F.col("t").alias("__t")))
+    if again.isEmpty():
+        return stay.select(*docs.columns)
+    return (stay.join(again, same, "left_anti").select(*docs.columns)
+            .unionByName(stay.join(again, same, "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])))
 
 
 def digest(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:

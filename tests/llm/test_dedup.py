@@ -177,3 +177,22 @@ def test_empty_benchmark(spark, corpus, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(corpus, none).count() == 0
     assert decontaminate.contaminated(empty, none).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_rows_that_repeat_an_id_with_other_texts(spark, parts):
+    """No row is judged by the positions of another row of its id."""
+    shared, other = " ".join(f"s{i}" for i in range(60)), " ".join(f"o{i}" for i in range(120))
+    df = spark.createDataFrame([(1, shared), (2, shared), (2, "short"), (3, other), (2, "short")], "doc_id long, text string").repartition(parts)
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.digest(df).collect())
+    assert got == Counter({(1, 60, 0): 1, (2, 60, 60): 1, (2, 1, 0): 2, (3, 120, 0): 1})
+    assert Counter(r.text for r in substring_dedup.drop_repeats(df).collect()) == Counter([shared, "", "short", "short", other])
+    df = spark.createDataFrame([(1, "a line that many share\nmine"), (2, "a line that many share\nb"), (2, "unique first line!\nc"), (2, None)],
+                               "doc_id long, text string").repartition(parts)
+    assert Counter((r.doc_id, r.text) for r in line_dedup.drop_repeated_lines(df).collect()) == Counter(
+        [(1, "a line that many share\nmine"), (2, "b"), (2, "unique first line!\nc"), (2, None)])
+    words = "one two three four five six seven eight"
+    df = spark.createDataFrame([(1, words, "x"), (1, words, "x"), (2, words, "y"), (2, "entirely other words are in this row", "z"), (None, words, "n"),
+                                (None, words, "n")], "doc_id long, text string, t string").repartition(parts)
+    assert Counter(map(tuple, simhash_dedup.one_of_each(df).collect())) == Counter(
+        [(1, words, "x"), (2, "entirely other words are in this row", "z"), (None, words, "n"), (None, words, "n")])
