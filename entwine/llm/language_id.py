@@ -37,6 +37,7 @@ from .common import pieces, small, written
 ORDERS, BUCKETS = (1, 2, 3), 1 << 14
 SAMPLE, CENTROIDS, STEPS, MIN_SHARE = 400, 4, 12, 0.05
 INSIDE, MARGIN = 0.99, 0.05
+SPARE = 4
 SHARD = 128
 #: Texts turned into dense rows at once, and letters read at once from a long text.
 TEXTS, LETTERS = 64, 1 << 20
@@ -152,13 +153,21 @@ def clustered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.rint(centre * CENTROID).astype(np.int64), limit + MARGIN
 
 
+def smallest(learn: DataFrame, sample: int) -> DataFrame:
+    """(_lang, _h): the ``sample`` smallest hashes of each language. Hashes are uniform, so those below
+    a share that leaves some ``SPARE`` times the sample are ranked, not those of all documents."""
+    keys = written(learn.select("lang", "h").distinct(), "language-hashes")
+    each = small(keys.groupBy(F.col("lang").alias("_lang")).agg((sample * SPARE / F.count("*")).alias("share")))
+    low = keys.join(each, F.col("lang") == F.col("_lang")).where(F.col("h") / 2.0**64 + 0.5 <= F.col("share"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    return low.select(F.col("lang").alias("_lang"), F.col("h").alias("_h"), rank.alias("k")).where(F.col("k") <= sample).drop("k")
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, np.ndarray]:
     """The centroids (lang, k, centre, within), written, and the inverse document frequencies."""
     learn = learning(docs)
     idf = inverse_frequencies(learn)
-    order = Window.partitionBy("lang").orderBy("h")
-    keys = learn.select("lang", "h").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample)
-    keys = small(written(keys.select(F.col("lang").alias("_lang"), F.col("h").alias("_h")), "language-sample"))
+    keys = small(written(smallest(learn, sample), "language-sample"))
     rows = learn.join(keys, (F.col("h") == F.col("_h")) & (F.col("lang") == F.col("_lang"))).select("lang", "h", "text").dropDuplicates(["lang", "h"])
     sent = docs.sparkSession.sparkContext.broadcast(idf)
 
