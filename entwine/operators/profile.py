@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import rounded_ratio, to_units
 from ..spec import GraphSpec, HEALTHCARE
+from .ranking import both_ends
 
 # Decimals each metric's source value carries (exact units) and is reported at.
 SOURCE_DECIMALS = {"age": 0, "billing": 2, "stay": 0}
@@ -200,13 +201,5 @@ def emergency_from_dist(profile: DataFrame, dist: DataFrame, spec: GraphSpec = H
 
 def rank_both_ways(df: DataFrame, value: str, k: int = 3, key: str = "entity") -> DataFrame:
     """Top-k and bottom-k rows by ``value`` (bottom kept in descending order, like a
-    tail of the descending sort); a row may be in both groups when there are < 2k.
-
-    The window runs over an aggregated table bounded by the number of hub entities.
-    """
-    desc = Window.orderBy(F.desc(value), F.asc(key))
-    cnt = df.agg(F.count(F.lit(1))).scalar()
-    r = df.withColumn("pos", F.row_number().over(desc).cast("long"))
-    top = r.where(F.col("pos") <= k).withColumn("grp", F.lit("top"))
-    bottom = r.where(F.col("pos") > cnt - k).withColumn("grp", F.lit("bottom"))
-    return top.unionByName(bottom)
+    tail of the descending sort); a row may be in both groups when there are < 2k."""
+    return both_ends(df, [F.desc(value), F.asc(key)], [F.asc(value), F.desc(key)], k)

@@ -4,18 +4,22 @@ The reference answers questions one at a time in a chat loop. Here the data work
 that loop runs as batch jobs over a question table: fill the chat template for every
 question, parse a table of tool requests, route each request to the search or the
 graph-context job, log the calls per question in order, and build the report. The
-model call itself is not part of this library (``answer`` stays null unless a
-batch function is supplied).
+model call itself is not part of this library: ``answer`` stays null unless a batch
+function is supplied through ``answer_with``.
 """
 
 from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..spec import GraphSpec, HEALTHCARE
+from .linking import mentions
 from .retrieve import UNKNOWN_TOOL
 
 PROMPT_PATH = os.path.join(os.path.dirname(os.path.dirname(__file__)), "resources", "agent_prompt.json")
@@ -71,27 +75,48 @@ def prompt_messages(qs: DataFrame, template: list[dict]) -> DataFrame:
     return qs.select("qid", "conv_id", "turn", F.inline(F.array(*msgs)))
 
 
-def tool_requests(conversations: DataFrame) -> DataFrame:
-    """A request table derived from the conversation log: user turns ask the
-    search tool with their text, assistant turns ask the graph-context tool for the
-    first word they contain, other turns name a tool that does not exist."""
+def tool_requests(conversations: DataFrame, nodes: DataFrame, spec: GraphSpec = HEALTHCARE) -> DataFrame:
+    """question_id, pos, call, fn, args: a request table derived from the conversation log.
+
+    User turns ask the search tool with their text; assistant turns ask the graph-context tool for
+    every node that their whole text names, in order of first mention (``call`` counts
+    from 0), or for their first word if it names none; other turns name a tool that does not
+    exist. Rows that repeat a turn each make their requests."""
+    asked = conversations.where(F.col("role") == "assistant").withColumn("_h", F.xxhash64("text"))
+    keys = ["conv_id", "turn", "_h"]
+    first = mentions(asked, keys, "text", nodes, spec).groupBy(*keys, "id", "label").agg(F.min("start").alias("start"))
+    lists = first.groupBy(*[F.col(k).alias(f"{k}2") for k in keys]).agg(F.array_sort(F.collect_list(F.struct("start", "id", "label"))).alias("xs"))
+    same = [F.col(k).eqNullSafe(F.col(f"{k}2")) for k in keys]
+    named = asked.join(lists, same[0] & same[1] & same[2], "left")
     first_word = F.regexp_extract(F.col("text"), r"\p{L}+", 0)
-    fn = (F.when(F.col("role") == "user", F.lit(SEARCH_TOOL))
-           .when(F.col("role") == "assistant", F.lit(CONTEXT_TOOL))
-           .otherwise(F.concat(F.lit("summarize_"), F.col("role"))))
-    args = (F.when(F.col("role") == "user", F.to_json(F.struct(F.col("text").alias("query"))))
-             .when(F.col("role") == "assistant", F.to_json(F.struct(first_word.alias("entity_name"))))
-             .otherwise(F.lit("{}")))
-    return conversations.select(F.col("conv_id").alias("question_id"), F.col("turn").alias("pos"),
-                                fn.alias("fn"), args.alias("args"))
+    names = F.coalesce(F.transform("xs", lambda x: x["label"]), F.array(first_word))
+    context = (named.select("conv_id", "turn", F.posexplode(names).alias("call", "name"))
+               .select("conv_id", "turn", "call", F.lit(CONTEXT_TOOL).alias("fn"), F.to_json(F.struct(F.col("name").alias("entity_name"))).alias("args")))
+    search = F.col("role") == "user"
+    rest = conversations.where(~F.col("role").eqNullSafe("assistant")).select(
+        "conv_id", "turn", F.lit(0).alias("call"), F.when(search, F.lit(SEARCH_TOOL)).otherwise(F.concat(F.lit("summarize_"), F.col("role"))).alias("fn"),
+        F.when(search, F.to_json(F.struct(F.col("text").alias("query")))).otherwise(F.lit("{}")).alias("args"))
+    return context.unionByName(rest).select(F.col("conv_id").alias("question_id"), F.col("turn").alias("pos"), F.col("call").cast("long").alias("call"), "fn", "args")
 
 
 def parse_requests(req: DataFrame) -> DataFrame:
-    """question_id, pos, fn, query, n_results (default 4), entity_name."""
+    """``req`` without args, with query, n_results (default 4) and entity_name, and ``args`` last."""
     a = F.from_json(F.col("args"), ARGS_SCHEMA)
-    return req.select("question_id", "pos", "fn", a["query"].alias("query"),
+    return req.select(*[c for c in req.columns if c != "args"], a["query"].alias("query"),
                       F.coalesce(a["n_results"], F.lit(DEFAULT_N_RESULTS)).cast("long").alias("n_results"),
-                      a["entity_name"].alias("entity_name"))
+                      a["entity_name"].alias("entity_name"), "args")
+
+
+def answer_with(df: DataFrame, question: str, context: str, model_factory, out: str = "answer") -> DataFrame:
+    """Plug-in answers: ``model_factory()`` returns a callable (questions, contexts) → list of str. Runs as
+    an iterator pandas UDF: one model per Python worker, Arrow batches in and out."""
+    @F.pandas_udf("string")
+    def _answer(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = model_factory()
+        for q, c in batches:
+            yield pd.Series(list(model(q.tolist(), c.tolist())), dtype=object)
+
+    return df.withColumn(out, _answer(F.col(question), F.col(context)))
 
 
 def unknown_tool(fn_col: str = "fn"):

@@ -9,13 +9,14 @@ node, hits of a question) are bounded by node degree and by k.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fmt_int
 from ..sources.tables import broadcast_if_bounded
 from ..spec import GraphSpec, HEALTHCARE
 from .graph import both_directions
+from .linking import resolve
 
 # The context texts' wording must equal the reference's.
 NEIGHBOURS_HEADING = "Graph neighbours of '{}':"
@@ -27,28 +28,6 @@ UNKNOWN_TOOL = "Unknown tool: "
 NODE_BOUND = 1_000_000
 
 
-def _ranked_nodes(nodes: DataFrame, spec: GraphSpec) -> DataFrame:
-    ranks = F.create_map(*[x for i, a in enumerate(spec.node_attrs) for x in (F.lit(a.node_type), F.lit(i))])
-    return nodes.select("id", "label", F.coalesce(ranks[F.col("node_type")], F.lit(len(spec.node_attrs)))
-                        .alias("type_rank"))
-
-
-def resolve(names: DataFrame, name: str, nodes: DataFrame, spec: GraphSpec = HEALTHCARE) -> DataFrame:
-    """names + resolved_id, resolved_label. An exact, case-sensitive label match
-    wins; otherwise the first node (type order, then label) whose label contains
-    the name case-insensitively; an empty name matches nothing."""
-    n = broadcast_if_bounded(_ranked_nodes(nodes, spec), NODE_BOUND)
-    key = F.col(name)
-    exact = F.col("label") == key
-    sub = (F.length(key) > 0) & F.lower(F.col("label")).contains(F.lower(key))
-    keys = [c for c in names.columns]
-    j = (names.join(n, exact | sub, "left")
-              .withColumn("_p", F.when(F.col("label") == key, 0).otherwise(1)))
-    w = Window.partitionBy(*keys).orderBy("_p", "type_rank", "label")
-    first = j.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
-    return first.select(*keys, F.col("id").alias("resolved_id"), F.col("label").alias("resolved_label"))
-
-
 def neighbors(nodes: DataFrame, edges: DataFrame, spec: GraphSpec = HEALTHCARE) -> DataFrame:
     """id, neighbour_id, neighbour (label), relationship, weight for every node."""
     lab = nodes.select(F.col("id").alias("other"), F.col("label").alias("neighbour"))

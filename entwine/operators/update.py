@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import edge_tooltip, node_tooltip
 from ..spec import GraphSpec, HEALTHCARE
@@ -21,13 +22,14 @@ TIE_BREAK = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity
 def recent_batch(clean: DataFrame, n: int, date: str = "date_of_admission", tie_break: tuple[str, ...] = TIE_BREAK) -> DataFrame:
     """The ``n`` most recent records by ``date``, then ``tie_break`` (both descending).
 
-    Records are counted per date (map-side partial sums, a row for each date); the
-    latest date with ``n`` records on it or after it is the cutoff, a scalar that Catalyst
-    pushes to the scans. Only the records from that date on, ``n`` and the rest of one day,
-    are sorted. Records without a date come last."""
-    per_date = clean.groupBy(date).agg(F.count(F.lit(1)).alias("_n"))
-    upto = per_date.withColumn("_upto", F.sum("_n").over(Window.orderBy(F.desc_nulls_last(date))))
-    cutoff = upto.where(F.col("_upto") >= n).agg(F.max_by(date, -F.col("_upto"))).scalar()
+    Records are counted per day (map-side partial sums, a row for each day); the latest day
+    with ``n`` records on it or after it is the cutoff, a scalar that Catalyst pushes to the scans. Only
+    the records from that day on, ``n`` and the rest of one day, are sorted. Records without a
+    date come last."""
+    timed = isinstance(clean.schema[date].dataType, (T.TimestampType, T.TimestampNTZType))
+    per_day = clean.groupBy((F.date_trunc("day", date) if timed else F.col(date)).alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = per_day.withColumn("_upto", F.sum("_n").over(Window.orderBy(F.desc_nulls_last("_day"))))
+    cutoff = upto.where(F.col("_upto") >= n).agg(F.max_by("_day", -F.col("_upto"))).scalar()
     late = clean.where(cutoff.isNull() | (F.col(date) >= cutoff))
     return late.orderBy(F.desc_nulls_last(date), *(F.desc(c) for c in tie_break)).limit(n)
 

@@ -3,18 +3,12 @@
 Embedder: the default is a network-free feature-hashing embedder written as native
 SQL (tokens are runs of letters, marks and digits of the lower-cased text, bucket = first 8 hex digits of
 md5(token) mod ``dim``, counts, L2-normalised), so it runs inside whole-stage
-codegen on executors. Vectors are kept sparse, as ``(id, bucket, n)`` postings,
-which is also the natural input of the exact search below. A user-given model can
+codegen on executors. Vectors are made sparse, as ``(id, bucket, n)`` postings, or as
+arrays of whole-number counts, whose distances are exact. A user-given model can
 be plugged in through ``embed_with`` (an iterator ``pandas_udf``: the model is
 loaded once per Python worker and fed Arrow batches).
 
-Exact top-k without a cross join: the corpus postings (size-checked, then
-broadcast) are equi-joined with the query postings on ``bucket``, which gives the
-dot product of every (query, document) pair that shares a bucket. Pairs that share
-none all tie (distance 2 for non-empty vectors; 1 against an empty one), so the
-k lowest-id documents of each tier — a k-bounded scalar subquery — complete the
-candidate set exactly. Distances are computed from integer counts,
-``2 - 2·dot/sqrt(|q|²·|d|²)``, which is bit-identical across engines.
+The exact search over such vectors, or any others, is in ``nearest``.
 """
 
 from __future__ import annotations
@@ -25,11 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import broadcast_if_bounded
-
 DIM = 64
 TOKEN_PATTERN = r"[\p{L}\p{M}\p{N}]+"
-CORPUS_BROADCAST_ROWS = 2_000_000   # postings rows; beyond this the join shuffles
 EMBEDDER_NAME = "hashing-md5-64"
 
 
@@ -51,11 +42,11 @@ def postings(df: DataFrame, keys: list[str], text: str, dim: int = DIM) -> DataF
              .groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("n")))
 
 
-def norms(df: DataFrame, keys: list[str], post: DataFrame) -> DataFrame:
-    """keys…, nn = Σ n² (0 for a text without tokens)."""
-    s = post.groupBy(*keys).agg(F.sum(F.col("n") * F.col("n")).alias("nn"))
-    return (df.select(*keys).join(s, keys, "left")
-              .withColumn("nn", F.coalesce(F.col("nn"), F.lit(0)).cast("long")))
+def count_vectors(df: DataFrame, keys: list[str], text: str, dim: int = DIM) -> DataFrame:
+    """keys…, vec array<bigint>: the counts of all ``dim`` buckets, zeros for a text without
+    tokens. One shuffle, behind a partial sum that leaves a row a text and task."""
+    t = df.select(*keys, F.explode_outer(tokens(F.col(text))).alias("tok")).select(*keys, bucket_of(F.col("tok"), dim).alias("_b"))
+    return t.groupBy(*keys).agg(F.array(*[F.count_if(F.col("_b") == b) for b in range(dim)]).alias("vec"))
 
 
 def dense(df: DataFrame, keys: list[str], post: DataFrame, dim: int = DIM) -> DataFrame:
@@ -71,55 +62,6 @@ def dense(df: DataFrame, keys: list[str], post: DataFrame, dim: int = DIM) -> Da
     return j.select(*keys, vec.alias("embedding"))
 
 
-def distance(dot: Column, qq: Column, dd: Column) -> Column:
-    """Squared L2 distance of the two L2-normalised count vectors."""
-    return (F.when((qq == 0) & (dd == 0), F.lit(0.0))
-             .when((qq == 0) | (dd == 0), F.lit(1.0))
-             .otherwise(F.lit(2.0) - F.lit(2.0) * dot / F.sqrt((qq * dd).cast("double"))))
-
-
-def _bucket_dots(q_post: DataFrame, q_key: str, d_post: DataFrame, d_key: str,
-                 broadcast_rows: int, salts: int) -> DataFrame:
-    """(_q, _d, dot) for every pair sharing a bucket.
-
-    Small corpus (checked): broadcast its postings, no shuffle of the queries.
-    Large corpus: only ``dim`` distinct join keys would make each bucket one hot
-    reducer, so the corpus side is salted by document (``hash(id) mod salts``) and
-    the query postings are replicated once per salt; the join key (bucket, salt)
-    then spreads every bucket over ``salts`` tasks. Both paths are exact."""
-    q = q_post.select(F.col(q_key).alias("_q"), "bucket", F.col("n").alias("qn"))
-    d = d_post.select(F.col(d_key).alias("_d"), "bucket", F.col("n").alias("dn"))
-    n = d.limit(broadcast_rows + 1).count()
-    if n <= broadcast_rows:
-        j = q.join(F.broadcast(d), "bucket")
-    else:
-        ds = d.withColumn("salt", F.pmod(F.hash("_d"), F.lit(salts)))
-        qs = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        j = qs.join(ds, ["bucket", "salt"])
-    return j.groupBy("_q", "_d").agg(F.sum(F.col("qn") * F.col("dn")).alias("dot"))
-
-
-def topk(q_post: DataFrame, q_norm: DataFrame, q_key: str,
-         d_post: DataFrame, d_norm: DataFrame, d_key: str, k: int = 4,
-         broadcast_rows: int = CORPUS_BROADCAST_ROWS, salts: int = 64) -> DataFrame:
-    """Exact k nearest documents per query: q_key, rank, d_key, distance.
-    Ties are broken by the lower document id."""
-    cand = _bucket_dots(q_post, q_key, d_post, d_key, broadcast_rows, salts)
-    dn = d_norm.select(F.col(d_key).alias("_d"), F.col("nn").alias("dd"))
-    first = dn.orderBy("_d").limit(k).agg(F.collect_list("_d")).scalar()
-    first_zero = dn.where(F.col("dd") == 0).orderBy("_d").limit(k).agg(F.collect_list("_d")).scalar()
-    qn = q_norm.select(F.col(q_key).alias("_q"), F.col("nn").alias("qq"))
-    fill = qn.select("_q", F.explode(F.array_union(first, first_zero)).alias("_d"),
-                     F.lit(0).cast("long").alias("dot"))
-    pool = cand.unionByName(fill).groupBy("_q", "_d").agg(F.sum("dot").alias("dot"))
-    scored = (pool.join(qn, "_q").join(broadcast_if_bounded(dn, broadcast_rows), "_d")
-                  .withColumn("distance", distance(F.col("dot"), F.col("qq"), F.col("dd"))))
-    w = Window.partitionBy("_q").orderBy("distance", "_d")
-    return (scored.withColumn("rank", F.row_number().over(w).cast("long"))
-                  .where(F.col("rank") <= k)
-                  .select(F.col("_q").alias(q_key), "rank", F.col("_d").alias(d_key), "distance"))
-
-
 def embed_with(df: DataFrame, text: str, model_factory, dim: int, out: str = "embedding") -> DataFrame:
     """Plug-in embedder: ``model_factory()`` returns a callable list[str] → 2-D array
     of shape (n, dim). Runs as an iterator pandas UDF: one model per Python worker,

@@ -94,26 +94,23 @@ class Ctx:
         from ..operators.vectors import postings
         return postings(self.questions, ["qid"], "question")
 
-    @cached_property
-    def q_norm(self) -> DataFrame:
-        from ..operators.vectors import norms
-        return norms(self.questions, ["qid"], self.q_post)
-
     @cached_property
     def d_post(self) -> DataFrame:
         from ..operators.vectors import postings
         return cut_lineage(postings(self.documents, ["id"], "text"))
 
     @cached_property
-    def d_norm(self) -> DataFrame:
-        from ..operators.vectors import norms
-        return cut_lineage(norms(self.documents, ["id"], self.d_post))
+    def d_vec(self) -> DataFrame:
+        """id, vec of every document; written once, since searches first measure it."""
+        from ..operators.vectors import count_vectors
+        return cut_lineage(count_vectors(self.documents, ["id"], "text"))
 
     @cached_property
     def hits(self) -> DataFrame:
-        from ..operators.vectors import topk
-        return topk(self.q_post, self.q_norm, "qid", self.d_post, self.d_norm, "id", 4) \
-            .withColumnRenamed("id", "doc_id")
+        from ..operators.nearest import normalised_l2, topk
+        from ..operators.vectors import count_vectors
+        qs = count_vectors(self.questions, ["qid"], "question")
+        return topk(qs, "qid", self.d_vec, "id", 4, metric=normalised_l2).withColumnRenamed("id", "doc_id")
 
     @cached_property
     def contexts(self) -> DataFrame:

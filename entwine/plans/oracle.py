@@ -228,6 +228,8 @@ ORACLE["graph_update"] = (f"{UPD2},\n{degree_ctes()} SELECT id, label AS node, c
 ORACLE["stream_graph_update"] = ("SELECT 'user:' || user_id::VARCHAR AS src, 'event_type:' || event_type AS dst, "
                                  "'PERFORMED' AS relationship, count(*) AS weight FROM events "
                                  "WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY ALL")
+ORACLE["stream_graph_nodes"] = ("SELECT 'user:' || user_id::VARCHAR AS id, 'user' AS node_type, count(*) AS count FROM events WHERE user_id IS NOT NULL GROUP BY ALL "
+                                "UNION ALL SELECT 'event_type:' || event_type, 'event_type', count(*) FROM events WHERE event_type IS NOT NULL GROUP BY ALL")
 
 
 # ---------------------------------------------------------------- 2.10 documents
@@ -332,6 +334,11 @@ ORACLE["embed_documents"] = f"{_post('documents', 'doc_id', 'text')}"
 ORACLE["embed_query"] = f"WITH {_QS} {_post('qs', 'qid', 'question')}"
 ORACLE["embed_dimension_check"] = f"SELECT count(*) AS n_vectors, {DIM}::BIGINT AS min_dim, {DIM}::BIGINT AS max_dim FROM documents"
 ORACLE["vector_topk"] = f"{RET} SELECT * FROM hits"
+ORACLE["vector_topk_embeddings"] = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE * 1048576)) AS v FROM embeddings),
+d AS (SELECT q.vec_id, e.vec_id AS neighbour_id, list_inner_product(q.v, q.v) + list_inner_product(e.v, e.v) - 2 * list_inner_product(q.v, e.v) AS far
+  FROM e AS q, e WHERE q.vec_id % 50 = 0)
+SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY far, neighbour_id) AS rank, neighbour_id, far / 1048576.0::DOUBLE / 1048576.0::DOUBLE AS distance
+FROM d QUALIFY rank <= 10"""
 ORACLE["vector_lookup_metadata"] = (f"{RET} SELECT qid, rank, doc_id, coalesce(entity_name, '{UNKNOWN_ENTITY}') AS entity, "
                                     f"length(text)::BIGINT AS n_chars FROM hits LEFT JOIN rag ON rag.id = hits.doc_id")
 
@@ -410,15 +417,28 @@ for _i, _m in enumerate(load_template()):
                  f"replace({_content}, '{{question}}', question) AS content FROM qs")
 ORACLE["prompt_messages"] = f"WITH {_QS} " + " UNION ALL ".join(_msgs)
 
-REQ = f"""req AS (SELECT conv_id AS question_id, turn AS pos,
+#: Requests: the leftmost longest label runs of an assistant's text, or its first word.
+_WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{M}}\\p{{N}}]+')"
+REQ = f"""lab AS (SELECT array_to_string(w, ' ') AS run, len(w) AS words, min({{'r': type_rank, 'l': label, 'i': id}}) AS b
+   FROM (SELECT *, {_WORDS.format('label')} AS w FROM nodes_r) WHERE len(w) > 0 GROUP BY ALL),
+said AS (SELECT conv_id, turn, {_WORDS.format('text')} AS w FROM conversations WHERE role = 'assistant'),
+match AS (SELECT conv_id, turn, i AS start, lab.words, lab.b.l AS label
+   FROM (SELECT conv_id, turn, words, w, unnest(range(len(w) - words + 1)) AS i FROM said, (SELECT DISTINCT words FROM lab)) s
+   JOIN lab ON lab.words = s.words AND lab.run = array_to_string(w[i + 1:i + s.words], ' ')),
+folded AS (SELECT conv_id, turn, list_reduce(list([{{'start': start, 'stop': start + words, 'label': label}}] ORDER BY start, words DESC),
+   lambda kept, m: CASE WHEN m[1].start >= kept[len(kept)].stop THEN list_concat(kept, m) ELSE kept END) AS kept FROM match GROUP BY conv_id, turn),
+walk AS (SELECT conv_id, turn, k.start, k.label FROM (SELECT conv_id, turn, unnest(kept) AS k FROM folded)),
+named AS (SELECT conv_id, turn, label, row_number() OVER (PARTITION BY conv_id, turn ORDER BY min(start)) - 1 AS call FROM walk GROUP BY conv_id, turn, label),
+preq AS (SELECT c.conv_id AS question_id, c.turn AS pos, coalesce(n.call, 0)::BIGINT AS call,
    CASE WHEN role = 'user' THEN '{SEARCH_TOOL}' WHEN role = 'assistant' THEN '{CONTEXT_TOOL}' ELSE 'summarize_' || role END AS fn,
-   CASE WHEN role = 'user' THEN text END AS query,
-   CASE WHEN role IN ('user', 'assistant') THEN NULL END::BIGINT AS n_results_raw,
-   CASE WHEN role = 'assistant' THEN regexp_extract(text, '\\p{{L}}+', 0) END AS entity_name
- FROM conversations),
-preq AS (SELECT question_id, pos, fn, query, coalesce(n_results_raw, {DEFAULT_N_RESULTS})::BIGINT AS n_results, entity_name FROM req)"""
-ORACLE["tool_call_parse"] = f"WITH {REQ} SELECT * FROM preq"
-ORACLE["entity_resolve"] = (f"{GRET}, {REQ} SELECT * FROM ({_resolve('(SELECT * FROM preq WHERE fn = ' + repr(CONTEXT_TOOL) + ')', 'entity_name', 's.question_id, s.pos, s.entity_name')})")
+   CASE WHEN role = 'user' THEN text END AS query, {DEFAULT_N_RESULTS}::BIGINT AS n_results,
+   CASE WHEN role = 'assistant' THEN coalesce(n.label, regexp_extract(text, '\\p{{L}}+', 0)) END AS entity_name,
+   CASE WHEN role = 'user' THEN to_json({{'query': text}})::VARCHAR
+        WHEN role = 'assistant' THEN to_json({{'entity_name': coalesce(n.label, regexp_extract(text, '\\p{{L}}+', 0))}})::VARCHAR ELSE '{{}}' END AS args
+ FROM conversations c LEFT JOIN named n ON role = 'assistant' AND n.conv_id = c.conv_id AND n.turn = c.turn)"""
+GREQ = f"{GRET}, {REQ}"
+ORACLE["tool_call_parse"] = f"{GREQ} SELECT question_id, pos, call, fn, query, n_results, entity_name FROM preq"
+ORACLE["entity_resolve"] = (f"{GREQ} SELECT * FROM ({_resolve('(SELECT * FROM preq WHERE fn = ' + repr(CONTEXT_TOOL) + ')', 'entity_name', 's.question_id, s.pos, s.call, s.entity_name')})")
 _ROUTE = f"""sreq AS (SELECT question_id || ':' || pos AS rid, * FROM preq WHERE fn = '{SEARCH_TOOL}'),
 rqpost AS ({_post('sreq', 'rid', 'query')}),
 rqn AS (SELECT s.rid AS qk, coalesce(sum(p.n * p.n), 0)::BIGINT AS qq FROM sreq s LEFT JOIN rqpost p USING (rid) GROUP BY ALL),
@@ -430,29 +450,35 @@ rsecs AS (SELECT rhits.rid, rhits.rank, {_SECTION} AS section FROM rhits JOIN sr
           LEFT JOIN rag ON rag.id = rhits.doc_id LEFT JOIN ctxs ON ctxs.entity_name = rag.entity_name
           WHERE rhits.rank <= sreq.n_results),
 routed AS (
-  SELECT sreq.question_id, sreq.pos, sreq.fn, coalesce(string_agg(section, {_DIV} ORDER BY rank), '') AS result
-    FROM sreq LEFT JOIN rsecs USING (rid) GROUP BY sreq.question_id, sreq.pos, sreq.fn
+  SELECT sreq.question_id, sreq.pos, sreq.call, sreq.fn, sreq.args, coalesce(string_agg(section, {_DIV} ORDER BY rank), '') AS result
+    FROM sreq LEFT JOIN rsecs USING (rid) GROUP BY ALL
   UNION ALL
-  SELECT question_id, pos, fn, context FROM ({_context("(SELECT * FROM preq WHERE fn = '" + CONTEXT_TOOL + "')", 'entity_name', 's.question_id, s.pos, s.fn, s.entity_name')})
+  SELECT question_id, pos, call, fn, args, context FROM ({_context("(SELECT * FROM preq WHERE fn = '" + CONTEXT_TOOL + "')", 'entity_name', 's.question_id, s.pos, s.call, s.fn, s.args, s.entity_name')})
   UNION ALL
-  SELECT question_id, pos, fn, '{UNKNOWN_TOOL}' || fn FROM preq WHERE fn NOT IN ('{SEARCH_TOOL}', '{CONTEXT_TOOL}'))"""
-ROUTED = f"{GRET}, {REQ}, {_ROUTE}"
-ORACLE["tool_call_route"] = f"{ROUTED} SELECT * FROM routed"
-ORACLE["tool_call_log"] = (f"{ROUTED} SELECT question_id, count(*) AS n_calls, string_agg(fn, ',' ORDER BY pos) AS tools, "
-                           f"sum(length(result))::BIGINT AS result_chars FROM routed GROUP BY question_id")
-ORACLE["retrieval_report"] = f"""{ROUTED},
-calls AS (SELECT question_id, pos AS turn, count(*) AS n_tool_calls, sum(length(result))::BIGINT AS context_chars FROM routed GROUP BY 1, 2),
-fq AS (SELECT conv_id AS question_id, turn, question FROM qs)
-SELECT fq.question_id, fq.turn, fq.question, coalesce(n_tool_calls, 0)::BIGINT AS n_tool_calls,
-  coalesce(context_chars, 0)::BIGINT AS context_chars, NULL::VARCHAR AS answer, '{EMBEDDER_NAME}' AS embedding_model,
-  (SELECT count(*) FROM fq) AS questions_answered
-FROM fq LEFT JOIN calls USING (question_id, turn)"""
+  SELECT question_id, pos, call, fn, args, '{UNKNOWN_TOOL}' || fn FROM preq WHERE fn NOT IN ('{SEARCH_TOOL}', '{CONTEXT_TOOL}'))"""
+ROUTED = f"{GREQ}, {_ROUTE}"
+ORACLE["tool_call_route"] = f"{ROUTED} SELECT question_id, pos, call, fn, result FROM routed"
+LOG = (f"{ROUTED}, log AS (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY pos, call, result) AS seq, "
+       f"pos, fn AS tool, args, result FROM routed)")
+ORACLE["tool_call_log"] = f"{LOG} SELECT * FROM log"
+#: A call belongs to the latest question at or before it, one before all questions to the first.
+_OWN = """, own AS (SELECT l.question_id, l.seq, l.tool, l.args, l.result, coalesce(max(q.turn) FILTER (WHERE q.turn <= l.pos), min(q.turn)) AS turn
+  FROM log l JOIN qs q ON q.conv_id = l.question_id GROUP BY ALL)"""
+ORACLE["retrieval_report"] = f"""{LOG}{_OWN}
+SELECT qs.conv_id AS question_id, qs.turn, qs.question, count(own.seq) AS n_tool_calls, coalesce(sum(length(own.result)), 0)::BIGINT AS context_chars,
+  NULL::VARCHAR AS answer, '{EMBEDDER_NAME}' AS embedding_model, (SELECT count(*) FROM qs) AS questions_answered
+FROM qs LEFT JOIN own ON own.question_id = qs.conv_id AND own.turn = qs.turn GROUP BY qs.conv_id, qs.turn, qs.question"""
+ORACLE["report_json"] = f"""{LOG}{_OWN}
+SELECT qs.conv_id AS question_id, qs.turn, qs.question, NULL::VARCHAR AS answer, '{EMBEDDER_NAME}' AS embedding_model, own.seq, own.tool, own.args, own.result
+FROM qs LEFT JOIN own ON own.question_id = qs.conv_id AND own.turn = qs.turn"""
 
 
 # ---------------------------------------------------------------- 2.1 sinks and round trips
 ORACLE["csv_roundtrip_clean"] = ORACLE["clean_visits"]
 ORACLE["summaries_roundtrip"] = f"{ctes('dist')} SELECT entity_type, entity, dist_column, value, n FROM dist"
+ORACLE["graph_json_export"] = f"{GR} SELECT * FROM nodes"
 ORACLE["graph_json_import"] = f"{GR} SELECT * FROM edges"
+ORACLE["graph_json_lines"] = ORACLE["graph_json_import"]
 ORACLE["graph_metadata_csv"] = ORACLE["graph_metadata"]
 ORACLE["stats_table_replace"] = ORACLE["entity_stats"]
 ORACLE["graph_replace_in_place"] = f"{UPD2} SELECT src, dst, relationship, weight, title FROM edges"

@@ -4,15 +4,18 @@ in full; outputs are flat scalar columns so that results compare across engines.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..functions.numeric import rounded_ratio, whole_units
 from ..operators import clean as C
 from ..operators import profile as P
+from ..operators.ranking import row_numbers
+from ..session import cut_lineage, scratch_path
 from .context import Ctx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,10 +135,9 @@ def filter_stats_by_type(c: Ctx) -> DataFrame:
     """The stats table under every selector value: "All" keeps all rows, a type
     keeps its own rows. The selector set is the distinct types plus "All"."""
     s = P.entity_stats(c.profile, c.spec)
-    sel = s.select(F.col("entity_type").alias("selected")).distinct() \
-           .unionByName(c.spark.range(1).select(F.lit("All").alias("selected")))
-    j = s.join(sel, (F.col("selected") == "All") | (F.col("selected") == F.col("entity_type")))
-    return j.select("selected", "entity_name", "entity_type", "patient_count")
+    cols = ("entity_name", "entity_type", "patient_count")
+    own = s.where(F.col("entity_type").isNotNull()).select(F.col("entity_type").alias("selected"), *cols)
+    return own.unionByName(s.select(F.lit("All").alias("selected"), *cols))
 
 
 # ---------------------------------------------------------------- 2.4 aggregations
@@ -156,8 +158,7 @@ def distinct_entities(c: Ctx) -> DataFrame:
 def distinct_types_sorted(c: Ctx) -> DataFrame:
     s = P.entity_stats(c.profile, c.spec).where(F.col("entity_type").isNotNull())
     types = s.select("entity_type").distinct()
-    pos = F.row_number().over(__import__("pyspark.sql").sql.Window.orderBy("entity_type"))
-    ranked = types.select(pos.cast("long").alias("pos"), "entity_type")
+    ranked = row_numbers(types, ["entity_type"])
     return c.spark.range(1).select(F.lit(0).cast("long").alias("pos"), F.lit("All").alias("entity_type")) \
         .unionByName(ranked)
 
@@ -202,10 +203,7 @@ def emergency_rate(c: Ctx) -> DataFrame:
 # ---------------------------------------------------------------- 2.5 sort / top-k
 @reg("stats_sorted")
 def stats_sorted(c: Ctx) -> DataFrame:
-    from pyspark.sql import Window
-    s = P.entity_stats(c.profile, c.spec)
-    w = Window.orderBy(F.desc("patient_count"), "entity_type", "entity_name")
-    return s.withColumn("pos", F.row_number().over(w).cast("long"))
+    return row_numbers(P.entity_stats(c.profile, c.spec), [F.desc("patient_count"), F.asc("entity_type"), F.asc("entity_name")])
 
 
 @reg("recent_batch")
@@ -439,6 +437,12 @@ def stream_graph_update(c: Ctx) -> DataFrame:
     return current_graph(c.spark, run_event_stream(c.spark, c.sf_dir))
 
 
+@reg("stream_graph_nodes")
+def stream_graph_nodes(c: Ctx) -> DataFrame:
+    from ..streaming.graph_stream import current_nodes, run_event_stream
+    return current_nodes(c.spark, run_event_stream(c.spark, c.sf_dir))
+
+
 # ---------------------------------------------------------------- 2.10 documents
 from ..operators import documents as D  # noqa: E402
 
@@ -475,6 +479,7 @@ def documents_union(c: Ctx) -> DataFrame:
 
 
 # ---------------------------------------------------------------- 2.11 embedding and vector search
+from ..operators import nearest as N  # noqa: E402
 from ..operators import requests as RQ  # noqa: E402
 from ..operators import retrieve as RT  # noqa: E402
 from ..operators import vectors as V  # noqa: E402
@@ -513,6 +518,16 @@ def vector_topk(c: Ctx) -> DataFrame:
     return c.hits
 
 
+@reg("vector_topk_embeddings")
+def vector_topk_embeddings(c: Ctx) -> DataFrame:
+    """The stored vectors searched: every row whose id 50 divides against all rows, the ten
+    nearest by squared distance of components rounded to 2**-20."""
+    unit = 1 << 20
+    e = c.table("embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double") * unit).cast("long")).alias("vec"))
+    hits = N.topk(e.where(F.col("vec_id") % 50 == 0), "vec_id", e.withColumnRenamed("vec_id", "neighbour_id"), "neighbour_id", 10)
+    return hits.withColumn("distance", F.col("distance") / F.lit(float(unit) ** 2))
+
+
 @reg("vector_topk_ann")
 def vector_topk_ann(c: Ctx) -> DataFrame:
     q = V.dense(c.questions, ["qid"], c.q_post)
@@ -541,12 +556,12 @@ def neighbors_by_relation(c: Ctx) -> DataFrame:
 
 
 def _parsed(c: Ctx) -> DataFrame:
-    return RQ.parse_requests(RQ.tool_requests(c.table("conversations")))
+    return cut_lineage(RQ.parse_requests(RQ.tool_requests(c.table("conversations"), c.nodes, c.spec)))
 
 
 @reg("entity_resolve")
 def entity_resolve(c: Ctx) -> DataFrame:
-    names = _parsed(c).where(F.col("fn") == RQ.CONTEXT_TOOL).select("question_id", "pos", "entity_name")
+    names = _parsed(c).where(F.col("fn") == RQ.CONTEXT_TOOL).select("question_id", "pos", "call", "entity_name")
     return RT.resolve(names, "entity_name", c.nodes, c.spec)
 
 
@@ -605,42 +620,40 @@ def prompt_messages(c: Ctx) -> DataFrame:
 
 @reg("tool_call_parse")
 def tool_call_parse(c: Ctx) -> DataFrame:
-    return _parsed(c)
+    return _parsed(c).drop("args")
+
+
+CALL = ("question_id", "pos", "call", "fn", "args")
 
 
 def _routed(c: Ctx) -> DataFrame:
     req = _parsed(c)
     search = req.where(F.col("fn") == RQ.SEARCH_TOOL).withColumn("rid", RQ.question_key("question_id", "pos"))
-    qp = V.postings(search, ["rid"], "query")
-    qn = V.norms(search, ["rid"], qp)
-    k = search.agg(F.max("n_results")).first()[0] or RQ.DEFAULT_N_RESULTS
-    h = V.topk(qp, qn, "rid", c.d_post, c.d_norm, "id", int(k)).withColumnRenamed("id", "doc_id")
-    h = h.join(search.select("rid", "n_results"), "rid").where(F.col("rank") <= F.col("n_results"))
+    asked = V.count_vectors(search, ["rid", "n_results"], "query")
+    h = N.topk(asked, "rid", c.d_vec, "id", "n_results", metric=N.normalised_l2).withColumnRenamed("id", "doc_id")
     res_search = RT.join_sections(RT.sections(h, "rid", c.documents, c.contexts.select("entity_name", "context")),
                                   "rid", "result")
-    s = search.join(res_search, "rid", "left").select("question_id", "pos", "fn",
-                                                      F.coalesce("result", F.lit("")).alias("result"))
-    ctx_req = req.where(F.col("fn") == RQ.CONTEXT_TOOL).select("question_id", "pos", "fn", "entity_name")
-    g = RT.graph_context(ctx_req, "entity_name", c.nodes, c.edges, c.spec) \
-        .select("question_id", "pos", "fn", F.col("context").alias("result"))
-    other = req.where(~F.col("fn").isin(RQ.SEARCH_TOOL, RQ.CONTEXT_TOOL)) \
-        .select("question_id", "pos", "fn", RQ.unknown_tool().alias("result"))
+    s = search.join(res_search, "rid", "left").select(*CALL, F.coalesce("result", F.lit("")).alias("result"))
+    ctx_req = req.where(F.col("fn") == RQ.CONTEXT_TOOL).select(*CALL, "entity_name")
+    g = RT.graph_context(ctx_req, "entity_name", c.nodes, c.edges, c.spec).select(*CALL, F.col("context").alias("result"))
+    other = req.where(~F.col("fn").isin(RQ.SEARCH_TOOL, RQ.CONTEXT_TOOL)).select(*CALL, RQ.unknown_tool().alias("result"))
     return s.unionByName(g).unionByName(other)
 
 
 @reg("tool_call_route")
 def tool_call_route(c: Ctx) -> DataFrame:
-    return _routed(c)
+    return _routed(c).drop("args")
 
 
 @reg("tool_call_log")
 def tool_call_log(c: Ctx) -> DataFrame:
-    r = _routed(c)
-    xs = F.array_sort(F.collect_list(F.struct("pos", "fn", "result")))
-    return r.groupBy("question_id").agg(
-        F.count(F.lit(1)).alias("n_calls"),
-        F.array_join(F.transform(xs, lambda x: x["fn"]), ",").alias("tools"),
-        F.sum(F.length("result")).cast("long").alias("result_chars"))
+    """Every call with its tool, arguments and result, numbered within its conversation."""
+    return _log(c)
+
+
+def _log(c: Ctx) -> DataFrame:
+    seq = F.row_number().over(Window.partitionBy("question_id").orderBy("pos", "call", "result"))
+    return _routed(c).select("question_id", seq.cast("long").alias("seq"), "pos", F.col("fn").alias("tool"), "args", "result")
 
 
 @reg("retrieval_report")
@@ -663,7 +676,6 @@ def retrieval_report(c: Ctx) -> DataFrame:
 
 
 # ---------------------------------------------------------------- 2.1 sinks and round trips
-from ..session import scratch_path  # noqa: E402
 from ..sources import io as IO  # noqa: E402
 
 
@@ -684,12 +696,20 @@ def summaries_roundtrip(c: Ctx) -> DataFrame:
 
 @reg("graph_json_export")
 def graph_json_export(c: Ctx) -> DataFrame:
-    path = IO.export_graph_json(c.nodes, c.edges, scratch_path(c.spark, "graph-json"))
-    return c.spark.read.text([f"{path}/nodes", f"{path}/links"])
+    """The graph as one node-link document, read again: its nodes."""
+    path = IO.write_node_link(c.nodes, c.edges, scratch_path(c.spark, "node-link"))
+    return IO.read_node_link(c.spark, path)[0]
 
 
 @reg("graph_json_import")
 def graph_json_import(c: Ctx) -> DataFrame:
+    path = IO.write_node_link(c.nodes, c.edges, scratch_path(c.spark, "node-link"))
+    return IO.read_node_link(c.spark, path)[1]
+
+
+@reg("graph_json_lines")
+def graph_json_lines(c: Ctx) -> DataFrame:
+    """The same as JSON lines, written in parallel, for graphs of any size."""
     path = IO.export_graph_json(c.nodes, c.edges, scratch_path(c.spark, "graph-json"))
     return IO.import_graph_json(c.spark, path)[1]
 
@@ -724,25 +744,33 @@ def vector_store(c: Ctx) -> DataFrame:
 @reg("stats_table_replace")
 def stats_table_replace(c: Ctx) -> DataFrame:
     s = P.entity_stats(c.profile, c.spec)
-    IO.replace_table(s, "entity_statistics")
-    return IO.replace_table(s, "entity_statistics").orderBy(F.desc("patient_count"))
+    name = f"entity_statistics_{uuid.uuid4().hex}"  # a name of its own: no table of the caller's is replaced
+    IO.replace_table(s, name)
+    return IO.replace_table(s, name).orderBy(F.desc("patient_count"))
 
 
 @reg("report_json")
 def report_json(c: Ctx) -> DataFrame:
+    """The report as nested JSON, a question a line with its calls (tool, arguments, result) in
+    order, read back and given a row a call (one with a null call for a question without)."""
+    turns = RQ.question_turns(c.table("conversations"))
+    calls = (_log(c).join(turns, ["question_id", "pos"]).groupBy("question_id", "turn")
+             .agg(F.array_sort(F.collect_list(F.struct("seq", "tool", "args", "result"))).alias("calls")))
+    asked = c.questions.select(F.col("conv_id").alias("question_id"), "turn", "question")
+    report = asked.join(calls, ["question_id", "turn"], "left").withColumns(
+        {"answer": F.lit(None).cast("string"), "embedding_model": F.lit(V.EMBEDDER_NAME)})
     path = scratch_path(c.spark, "report")
-    retrieval_report(c).write.mode("overwrite").json(path)
-    return c.spark.read.json(path)
+    report.write.mode("overwrite").json(path)
+    back = c.spark.read.schema(report.schema).json(path)
+    return back.select("question_id", "turn", "question", "answer", "embedding_model", F.inline_outer("calls"))
 
 
 @reg("graph_replace_in_place")
 def graph_replace_in_place(c: Ctx) -> DataFrame:
-    """Save the graph, read it back, upsert the recent batch, save the successor as
-    a new version and read the current version again: its edges."""
-    store = IO.VersionedGraph(c.spark, scratch_path(c.spark, "graph-store"))
-    store.save(c.nodes, c.edges)
-    nodes0, edges0 = store.load()
+    """Save the graph, read it back, upsert the recent batch, save the successor in a fresh folder and
+    read that: its edges. A failed save leaves the old folder as it was."""
+    saved = IO.export_graph_json(c.nodes, c.edges, scratch_path(c.spark, "graph-saved"))
+    nodes0, edges0 = IO.import_graph_json(c.spark, saved)
     nodes = U.upsert_nodes(nodes0, _batch_nodes(c), c.spec).drop("status")
     edges = U.upsert_edges(edges0, _batch_edges(c, topk=None), c.spec).drop("status")
-    store.save(nodes, edges)
-    return store.load()[1]
+    return IO.import_graph_json(c.spark, IO.export_graph_json(nodes, edges, scratch_path(c.spark, "graph-saved")))[1]

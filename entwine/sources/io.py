@@ -1,5 +1,5 @@
-"""Sinks and round trips: CSV, Parquet, JSON lines, managed tables, versioned
-graph storage. Every path lives under the shared checkpoint folder (or a caller
+"""Sinks and round trips: CSV, Parquet, JSON lines, node-link documents, managed
+tables. Every path lives under the shared checkpoint folder (or a caller
 given location); nothing is written through the driver."""
 
 from __future__ import annotations
@@ -20,11 +20,16 @@ LINK_SCHEMA = T.StructType([
     T.StructField("title", T.StringType())])
 
 
+#: CSV that keeps line feeds, quotes and outer white space, and tells null from empty text.
+CSV = {"header": True, "multiLine": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+       "nullValue": "\u2400"}
+
+
 def csv_roundtrip(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write with a header, read back with the original schema (types intact)."""
     path = path or scratch_path(df.sparkSession, "csv")
-    df.write.mode("overwrite").option("header", True).csv(path)
-    return df.sparkSession.read.schema(df.schema).option("header", True).csv(path)
+    df.write.mode("overwrite").options(**CSV, emptyValue='""').csv(path)
+    return df.sparkSession.read.schema(df.schema).options(**CSV, emptyValue="").csv(path)
 
 
 def parquet_roundtrip(df: DataFrame, path: str | None = None, partition_by: list[str] | None = None) -> DataFrame:
@@ -60,30 +65,31 @@ def replace_table(df: DataFrame, name: str, path: str | None = None) -> DataFram
     return df.sparkSession.table(name)
 
 
-class VersionedGraph:
-    """Graph storage that never overwrites what it reads: each save writes a new
-    version folder, then a one-row ``current`` table is rewritten to point at it.
-    Readers resolve the pointer first, so a failed save leaves the old version."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def current_version(self) -> int | None:
-        try:
-            row = self.spark.read.parquet(f"{self.root}/current").first()
-        except Exception:  # noqa: BLE001 - no pointer yet
-            return None
-        return None if row is None else int(row["version"])
-
-    def save(self, nodes: DataFrame, edges: DataFrame) -> int:
-        v = (self.current_version() or 0) + 1
-        export_graph_json(nodes, edges, f"{self.root}/v{v}")
-        self.spark.range(1).select(F.lit(v).cast("long").alias("version")) \
-            .write.mode("overwrite").parquet(f"{self.root}/current")
-        return v
-
-    def load(self) -> tuple[DataFrame, DataFrame]:
-        v = self.current_version()
-        if v is None:
-            raise FileNotFoundError(f"no graph saved under {self.root}")
-        return import_graph_json(self.spark, f"{self.root}/v{v}")
+# ---------------------------------------------------------------- one node-link document
+#: Bytes of a graph that may be put together into one document, which one task writes.
+DOCUMENT_BYTES = 256 << 20
+DOCUMENT = "nodes array<struct<{0}>>, links array<struct<{1}>>, edges array<struct<{1}>>".format(
+    *(", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in schema) for schema in (NODE_SCHEMA, LINK_SCHEMA)))
+
+
+def write_node_link(nodes: DataFrame, edges: DataFrame, path: str, max_bytes: int = DOCUMENT_BYTES) -> str:
+    """The graph as one undirected node-link object with ``nodes`` and ``links``, a text file below ``path``.
+    Graphs of more than ``max_bytes`` are refused: ``export_graph_json`` writes those in parallel."""
+    links = edges.select(F.col("src").alias("source"), F.col("dst").alias("target"), *[f.name for f in LINK_SCHEMA][2:])
+    sides = [nodes.select(F.struct(*[f.name for f in NODE_SCHEMA]).alias("x")), links.select(F.struct(*links.columns).alias("x"))]
+    size = sum(side.agg(F.coalesce(F.sum(F.octet_length(F.to_json("x")).cast("long")), F.lit(0))).first()[0] for side in sides)
+    if size > max_bytes:
+        raise ValueError(f"a graph of {size} bytes is too large for one document; write it with export_graph_json")
+    lists = [side.agg(F.to_json(F.array_sort(F.collect_list("x")))).scalar() for side in sides]
+    doc = F.concat(F.lit('{"directed": false, "multigraph": false, "graph": {}, "nodes": '), lists[0], F.lit(', "links": '), lists[1], F.lit("}"))
+    nodes.sparkSession.range(0, 1, 1, 1).select(doc.alias("value")).write.mode("overwrite").text(path)
+    return path
+
+
+def read_node_link(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of node-link documents (a file, or a folder of files, each one object whose
+    links are under ``links`` or ``edges``). A node without a label has its id as label."""
+    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", DOCUMENT).alias("d"))
+    nodes = doc.select(F.inline("d.nodes")).withColumn("label", F.coalesce("label", "id"))
+    links = doc.select(F.inline(F.coalesce("d.links", "d.edges")))
+    return nodes, links.select(F.col("source").alias("src"), F.col("target").alias("dst"), "relationship", "weight", "title")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..spec import VISIT_COLUMNS
 
@@ -17,6 +18,7 @@ LINEITEM_COLUMNS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_q
 # Row bound checked before a dimension table is broadcast; above it the join
 # shuffles on its key (and AQE may still pick a broadcast from runtime sizes).
 DIMENSION_BOUND = 500_000
+BROADCAST_BYTES, ROW_BYTES = 64 << 20, 16
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +36,16 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int = DIMENSION_BOUND) -> Data
     return F.broadcast(df) if n <= max_rows else df
 
 
+def broadcast_if_bytes(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only if its values take at most ``max_bytes``: the text of its string
+    columns, ``ROW_BYTES`` a row and column for the rest. Beyond that the join shuffles."""
+    texts = [F.coalesce(F.sum(F.octet_length(f.name).cast("long")), F.lit(0)) for f in df.schema if isinstance(f.dataType, T.StringType)]
+    nested = [F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(f.name))).cast("long")), F.lit(0)) for f in df.schema
+              if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))]
+    size = df.agg(sum(texts + nested, F.count(F.lit(1)) * ROW_BYTES * len(df.columns))).first()[0]
+    return F.broadcast(df) if size <= max_bytes else df
+
+
 def raw_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw fact table: one row per line item, with the order, customer, region
     and part it belongs to, and the fact columns under their domain names.

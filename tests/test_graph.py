@@ -110,6 +110,33 @@ def test_event_stream_reads_a_folder_of_files(spark, tmp_path):
     assert got.agg(F.sum("weight")).first()[0] == events.where("user_id is not null and event_type is not null").count()
 
 
+def test_compacted_graph_counts_every_batch_once(spark, tmp_path):
+    from entwine.streaming.graph_stream import GraphStore, current_graph, current_nodes, delta_writer, graph_deltas
+    path, rows = str(tmp_path / "g"), [("u1", "a"), ("u1", "a"), ("u2", None), (None, "b")]
+    batch = spark.createDataFrame(rows, "u string, t string")
+    w = delta_writer(path, lambda b: graph_deltas(b, F.col("u"), "user", F.col("t"), "type", "R"), compact_every=3)
+    GraphStore(spark, path).create()
+    assert current_graph(spark, path).collect() == [] and current_nodes(spark, path).collect() == []
+    for i in range(8):
+        w(batch, i)
+        if i in (2, 5, 6):
+            w(batch, i)        # replayed: 2 and 5 after their compaction
+        assert {(r.src, r.dst): r.weight for r in current_graph(spark, path).collect()} == {("u1", "a"): 2 * (i + 1)}
+        assert {(r.id, r.node_type): r["count"] for r in current_nodes(spark, path).collect()} == {
+            ("u1", "user"): 2 * (i + 1), ("u2", "user"): i + 1, ("a", "type"): 2 * (i + 1), ("b", "type"): i + 1}
+    assert sorted(r.upto for r in spark.read.parquet(f"{path}/states").select("upto").distinct().collect()) == [2, 5]
+    read = [p for p in current_graph(spark, path).inputFiles() if "/deltas/" in p]
+    plan = current_graph(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "batch_id" in plan and "> 5" in plan and read
+
+
+def test_an_empty_event_table_is_an_empty_graph(spark, tmp_path):
+    from entwine.streaming.graph_stream import current_graph, current_nodes, run_event_stream
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(0).write.parquet(str(tmp_path / "events.parquet"))
+    path = run_event_stream(spark, str(tmp_path))
+    assert current_graph(spark, path).collect() == [] and current_nodes(spark, path).collect() == []
+
+
 def test_upsert_marks_saved_rows_without_title_as_updated(spark):
     from entwine.operators.update import upsert_edges
     base = spark.createDataFrame([("a", "b", "R", 3, None)], "src string, dst string, relationship string, weight long, title string")
@@ -134,3 +161,39 @@ def test_recent_batch_takes_the_latest_with_ties_and_nulls(spark):
     df = spark.createDataFrame([(1, 1), (2, 2), (3, 2), (4, None)], "k int, date_of_admission int")
     for n, want in ((1, [3]), (2, [3, 2]), (3, [3, 2, 1]), (4, [3, 2, 1, 4]), (9, [3, 2, 1, 4])):
         assert [r.k for r in recent_batch(df, n, tie_break=("k",)).collect()] == want
+
+
+def test_recent_batch_cuts_off_by_day(spark):
+    import datetime as dt
+    from entwine.operators.update import recent_batch
+    rows = [(i, dt.datetime(2024, 1, 1 + i // 24, i % 24, i % 60)) for i in range(24 * 5)]
+    df = spark.createDataFrame(rows, "k int, date_of_admission timestamp_ntz").repartition(4)
+    assert [r.k for r in recent_batch(df, 30, tie_break=("k",)).collect()] == list(range(119, 89, -1))
+
+
+def test_csv_keeps_every_text(spark):
+    from entwine.sources.io import csv_roundtrip
+    rows = [(1, "a\nb"), (2, " lead and trail "), (3, ""), (4, None), (5, 'say "hi", \\ and \\"'), (6, "x,y"), (7, "\t")]
+    assert sorted(map(tuple, csv_roundtrip(spark.createDataFrame(rows, "k int, t string")).collect())) == rows
+
+
+def test_node_link_documents(spark, tmp_path):
+    import json
+
+    import pytest
+    from entwine.sources.io import read_node_link, write_node_link
+    doc = {"directed": False, "multigraph": False, "graph": {}, "nodes": [
+        {"node_type": "condition", "color": "#D9506A", "count": 3, "title": "t", "id": "Flu"}, {"id": "Aspirin", "label": "Asp"}]}
+    link = {"weight": 2, "relationship": "TREATED_WITH", "title": "x", "source": "Flu", "target": "Aspirin"}
+    for name in ("links", "edges"):
+        (tmp_path / f"{name}.json").write_text(json.dumps({**doc, name: [link]}, indent=1))
+        nodes, edges = read_node_link(spark, str(tmp_path / f"{name}.json"))
+        assert sorted((r.id, r.label, r["count"]) for r in nodes.collect()) == [("Aspirin", "Asp", None), ("Flu", "Flu", 3)]
+        assert [tuple(r) for r in edges.collect()] == [("Flu", "Aspirin", "TREATED_WITH", 2, "x")]
+    path = write_node_link(nodes, edges, str(tmp_path / "out"))
+    [file] = (tmp_path / "out").glob("part-*")
+    back = json.loads(file.read_text())
+    assert back["links"] == [link] and {x["id"] for x in back["nodes"]} == {"Flu", "Aspirin"} and back["multigraph"] is False
+    assert read_node_link(spark, path)[1].collect() == edges.collect()
+    with pytest.raises(ValueError):
+        write_node_link(nodes, edges, str(tmp_path / "big"), max_bytes=10)

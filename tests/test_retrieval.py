@@ -3,6 +3,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from entwine.operators import nearest as N
 from entwine.operators import requests as RQ
 from entwine.operators import retrieve as RT
 from entwine.operators import vectors as V
@@ -38,11 +39,14 @@ def test_context_text(spark):
 
 def _brute(qs, ds, k):
     import hashlib
-    import re
+    import unicodedata
+
+    def words(t):  # runs of letters, marks and digits
+        return "".join(c if unicodedata.category(c)[0] in "LMN" else " " for c in t.lower()).split()
 
     def vec(t):
         v = [0] * V.DIM
-        for tok in re.findall(V.TOKEN_PATTERN, t.lower()):
+        for tok in words(t):
             v[int(hashlib.md5(tok.encode()).hexdigest()[:8], 16) % V.DIM] += 1
         return v
     out = {}
@@ -66,17 +70,16 @@ def test_exact_topk_matches_brute_force_with_ties(spark):
     qs = [(1, "alpha"), (2, "omega"), (3, ""), (4, "beta gamma")]
     dq = spark.createDataFrame(qs, "qid long, q string")
     dd = spark.createDataFrame(docs, "id string, text string")
-    qp, dp = V.postings(dq, ["qid"], "q"), V.postings(dd, ["id"], "text")
-    hits = V.topk(qp, V.norms(dq, ["qid"], qp), "qid", dp, V.norms(dd, ["id"], dp), "id", 3).collect()
+    qv, dv = V.count_vectors(dq, ["qid"], "q"), V.count_vectors(dd, ["id"], "text")
+    hits = N.topk(qv, "qid", dv, "id", 3, metric=N.normalised_l2).collect()
     got = {}
     for r in sorted(hits, key=lambda r: (r.qid, r.rank)):
         got.setdefault(r.qid, []).append(r.id)
     assert got == _brute(qs, docs, 3)
     assert got[1][:2] == ["d0", "d1"]           # equal distance → lower id first
-    # the salted shuffle path (corpus above the broadcast bound) gives the same result
-    salted = V.topk(qp, V.norms(dq, ["qid"], qp), "qid", dp, V.norms(dd, ["id"], dp), "id", 3,
-                    broadcast_rows=0, salts=4).collect()
-    assert sorted((r.qid, r.rank, r.id) for r in salted) == sorted((r.qid, r.rank, r.id) for r in hits)
+    # a corpus above the bound, which is read where it lies, gives the same result
+    read = N.topk(qv, "qid", dv, "id", 3, metric=N.normalised_l2, sent_bytes=1000).collect()
+    assert sorted((r.qid, r.rank, r.id) for r in read) == sorted((r.qid, r.rank, r.id) for r in hits)
 
 
 def test_requests_parse_defaults_and_unknown_tool(spark):
