@@ -209,6 +209,9 @@ def digest(docs: DataFrame) -> DataFrame:
     return variants(corpus_words(docs))
 
 
+#: Chains have fewer than 2**6 links, as counts at least double: six times the root of the root.
+ROOTS = ", ".join(["r0 AS MATERIALIZED (SELECT word, coalesce(form, word) AS root FROM form)"] + [
+    f"r{k + 1} AS MATERIALIZED (SELECT a.word, b.root FROM r{k} a JOIN r{k} b ON a.root = b.word)" for k in range(6)])
 #: crc32 by its table of 256; near words by all strings that a deletion gives.
 ORACLE = f"""
 WITH RECURSIVE bit(i, c, k) AS (SELECT i, i, 0 FROM range(256) t(i) UNION ALL
@@ -226,5 +229,5 @@ near AS (SELECT a.word, b.word AS other, b.n AS m FROM gone a JOIN gone b ON a.i
 best AS (SELECT word, count(*) AS n_near, min({{'k': -m, 'form': other}}) AS best FROM near GROUP BY word),
 form AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.k >= {RATIO} * n THEN best.form END AS form, CASE WHEN -best.k >= {RATIO} * n THEN -best.k END AS form_n
   FROM w LEFT JOIN best USING (word)),
-chain(word, root, k) AS (SELECT word, word, 0 FROM form UNION ALL SELECT c.word, f.form, k + 1 FROM chain c JOIN form f ON c.root = f.word WHERE f.form IS NOT NULL)
-SELECT form.word, form.form, c.root, form.n, form.n_near, form.form_n FROM form JOIN (SELECT word, arg_max(root, k) AS root FROM chain GROUP BY word) c USING (word)"""
+{ROOTS}
+SELECT form.word, form.form, r6.root, form.n, form.n_near, form.form_n FROM form JOIN r6 USING (word)"""
