@@ -21,8 +21,8 @@ def title_case(x: Column | str) -> Column:
         "")
 
 
-# Fixed value: the whitespace set stripped (Java regex ``\s``: space, \t, \n, \v, \f, \r).
-WHITESPACE = " \t\n\x0b\x0c\r"
+# All characters that count as white space, Unicode ones included.
+WHITESPACE = "".join(chr(i) for i in range(0x10000) if chr(i).isspace())
 
 
 def strip_ws(x: Column | str) -> Column:

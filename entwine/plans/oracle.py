@@ -29,6 +29,10 @@ ORACLE["scan_sample"] = (f"{W} SELECT name, age, medical_condition, medication,
 ORACLE["clean_title_case"] = (f"{W} SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, name, "
                               f"{title('name')} AS name_title, {title('doctor')} AS doctor_title FROM visits")
 ORACLE["clean_dates"] = f"{W} SELECT {LINE_KEY}, date_of_admission, discharge_date FROM visits"
+ORACLE["clean_dates_audit"] = f"{W} " + " UNION ALL ".join(
+    f"SELECT '{c}' AS column, count(TRY_CAST({c}::VARCHAR AS TIMESTAMP)) AS n_dates, count(*) FILTER ({c} IS NULL) AS n_null, "
+    f"count(*) FILTER ({c} IS NOT NULL AND TRY_CAST({c}::VARCHAR AS TIMESTAMP) IS NULL) AS n_rejected FROM visits"
+    for c in ("date_of_admission", "discharge_date"))
 ORACLE["clean_length_of_stay"] = f"{WC} SELECT {LINE_KEY}, length_of_stay FROM clean"
 ORACLE["clean_strip"] = f"{W} SELECT {LINE_KEY}, " + ", ".join(f"{strip(c)} AS {c}" for c in CATS) + " FROM visits"
 ORACLE["clean_visits"] = f"{WC} SELECT * FROM clean"

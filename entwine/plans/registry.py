@@ -59,6 +59,12 @@ def clean_dates(c: Ctx) -> DataFrame:
     return d.select(*LINE_KEY, "date_of_admission", "discharge_date")
 
 
+@reg("clean_dates_audit")
+def clean_dates_audit(c: Ctx) -> DataFrame:
+    """Dates as text, as a CSV file has them: how many parse, are null or are rejected."""
+    return C.date_audit(c.raw.select(*[F.col(x).cast("string").alias(x) for x in C.DATE_COLUMNS]))
+
+
 @reg("clean_length_of_stay")
 def clean_length_of_stay(c: Ctx) -> DataFrame:
     return c.clean.select(*LINE_KEY, "length_of_stay")

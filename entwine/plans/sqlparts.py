@@ -36,7 +36,8 @@ def title(x: str) -> str:
 
 
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    space = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]+"
+    return f"regexp_replace({x}, '^{space}|{space}$', '', 'g')"
 
 
 _mapped = ", ".join(f"{src} AS {dst}" for dst, src in VISIT_COLUMNS.items())

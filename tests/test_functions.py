@@ -55,3 +55,23 @@ def test_tooltips(spark):
     assert title == "<b>Diabetes</b><br>Type: Medical Condition<br>Patients: 1,234"
     plain = df.select(TX.tooltip_plain(F.lit(title))).first()[0]
     assert plain == "Diabetes\nType: Medical Condition\nPatients: 1,234"
+
+
+def test_strip_unicode_whitespace(spark):
+    rows = [("\u00a0\u2003x y\u3000\x1c\x85",), ("\u200bkept\u200b",), (" \u2028",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "s string").select(TX.strip_ws("s")).collect()]
+    assert got == [r[0].strip() for r in rows] == ["x y", "\u200bkept\u200b", ""]
+
+
+def test_rejected_dates_are_returned(spark):
+    from entwine.operators.clean import clean_dates, date_audit, split_dates
+    rows = [(1, "2024-01-31", "2024-02-01 10:00:00"), (2, "31.01.2024", "2024-02-01"), (3, None, "x"), (4, "y", "z"), (5, None, None)]
+    df = spark.createDataFrame(rows, "k int, date_of_admission string, discharge_date string")
+    good, bad = split_dates(df)
+    assert sorted(r.k for r in good.collect()) == [1, 5] and good.schema["date_of_admission"].dataType.typeName() == "timestamp"
+    assert sorted((r.k, r.date_of_admission, r.bad_dates) for r in bad.where("k <> 3").collect()) == [
+        (2, "31.01.2024", ["date_of_admission"]), (4, "y", ["date_of_admission", "discharge_date"])]
+    assert bad.where("k = 3").first().bad_dates == ["discharge_date"] and bad.count() == 3
+    assert sorted(map(tuple, date_audit(df).collect())) == [("date_of_admission", 1, 2, 2), ("discharge_date", 2, 1, 2)]
+    typed = clean_dates(good)
+    assert split_dates(typed)[1].count() == 0 and date_audit(typed.limit(0)).collect() == []
