@@ -9,8 +9,15 @@ power of ten, which is correctly rounded everywhere.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Places kept of a value before it is summed: below those of any money or age column.
+EXACT_SCALE = 12
+EXACT = f"decimal(28,{EXACT_SCALE})"
 
 
 def to_units(x: Column | str, decimals: int) -> Column:
@@ -21,6 +28,33 @@ def to_units(x: Column | str, decimals: int) -> Column:
     return F.round(x * F.lit(10 ** decimals)).cast("long")
 
 
+def exact(x: Column | str) -> Column:
+    """A numeric column as a decimal of ``EXACT_SCALE`` places, so that a sum does not depend on
+    its order and only the reported figure is rounded. NaN counts as missing."""
+    x = F.col(x) if isinstance(x, str) else x
+    return F.nullif(x.cast("double"), F.lit(float("nan"))).cast(EXACT)
+
+
+def exact_column(df: DataFrame, name: str) -> Column:
+    """``exact`` of a column by its type: only floating columns go through NaN's test."""
+    floating = isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
+    return exact(name) if floating else F.col(name).cast(EXACT)
+
+
+def rounded_mean(total: Column, count: Column, decimals: int) -> Column:
+    """An exact decimal sum / ``count`` rounded half-up at ``decimals`` places, as a double; null
+    where nothing was counted."""
+    num = F.abs(total.cast(f"decimal(32,{EXACT_SCALE})")) * F.lit(Decimal(2 * 10 ** decimals))
+    den = count.cast("decimal(19,0)")
+    q = F.signum(total).cast("long") * idiv(num + den, den * F.lit(Decimal(2)))
+    return F.when(count > 0, q.cast("double") / F.lit(float(10 ** decimals)))
+
+
+def rounded_units(total: Column, decimals: int) -> Column:
+    """An exact decimal sum as a whole number of 10**-decimals units, rounded half-up once."""
+    return F.round(total.cast(f"decimal(34,{EXACT_SCALE})") * F.lit(Decimal(10 ** decimals)), 0).cast("long")
+
+
 def idiv(a: Column, b: Column) -> Column:
     """Spark's integral division ``a div b`` (truncates; operands here are >= 0)."""
     return F.call_function("div", a, b)

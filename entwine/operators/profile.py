@@ -14,67 +14,66 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import rounded_ratio, to_units
+from ..functions.numeric import exact_column, rounded_mean, rounded_ratio
 from ..spec import GraphSpec, HEALTHCARE
 from .ranking import both_ends
 
-# Decimals each metric's source value carries (exact units) and is reported at.
-SOURCE_DECIMALS = {"age": 0, "billing": 2, "stay": 0}
 METRICS = ("age", "billing", "stay")
 NODE = "node"   # marker in the ``pair`` column for single-entity rows
 ALL = "*"       # marker for the single whole-table row (n = record count)
 
 
-def _units(spec: GraphSpec) -> dict[str, Column]:
-    return {m: to_units(spec.metric_columns[m], SOURCE_DECIMALS[m]) for m in METRICS}
-
-
 def entity_facts(clean: DataFrame, spec: GraphSpec = HEALTHCARE,
                  nodes: bool = True, pairs: bool = True, total: bool = False) -> DataFrame:
     """One aggregate holding entity rows, attribute-pair rows and the record count.
 
     Schema: ``pair`` (``node``, ``*`` or ``"<a>|<b>"``), ``entity_type`` (node type
     or the pair name), ``a``, ``b`` (null unless a pair row), ``n`` and, for nodes,
-    exact metric sums ``s_age``, ``s_billing``, ``s_stay`` (integer units).
+    exact metric sums ``s_age``, ``s_billing``, ``s_stay`` (decimals, no value rounded)
+    with the number of values summed, ``k_age`` and so on (a null or NaN is none).
 
     Two steps, both hash aggregates with map-side partial aggregation:
     1. group the fact rows by the full combination of categorical attributes,
-       counting rows and summing metric units — its size is bounded by the product
+       counting rows and summing metrics — its size is bounded by the product
        of the attribute cardinalities, not by the row count, so a hot value (a third
        of all rows) collapses to a handful of rows inside each map task;
     2. unpivot each combination into one row per entity and per attribute pair and
        sum again. Null labels never become entities.
     """
-    units = _units(spec)
+    values = {m: exact_column(clean, spec.metric_columns[m]) for m in METRICS}
     cats = [a.column for a in spec.attributes]
     combos = (clean.groupBy(*cats)
                    .agg(F.count(F.lit(1)).alias("c"),
-                        *[F.sum(units[m]).alias(f"c_{m}") for m in METRICS]))
-    none = F.lit(None).cast("long")
+                        *[F.sum(values[m]).alias(f"c_{m}") for m in METRICS],
+                        *[F.count(values[m]).alias(f"d_{m}") for m in METRICS]))
+    sums = [F.col(f"c_{m}").alias(f"u_{m}") for m in METRICS] + [F.col(f"d_{m}").alias(f"v_{m}") for m in METRICS]
+    none = ([F.lit(None).cast(combos.schema[f"c_{m}"].dataType).alias(f"u_{m}") for m in METRICS]
+            + [F.lit(None).cast("long").alias(f"v_{m}") for m in METRICS])
     entries = []
     if nodes:
         for a in spec.node_attrs:
             entries.append(F.struct(F.lit(NODE).alias("pair"), F.lit(a.node_type).alias("entity_type"),
                                     F.col(a.column).alias("a"), F.lit(None).cast("string").alias("b"),
-                                    *[F.col(f"c_{m}").alias(f"u_{m}") for m in METRICS]))
+                                    *sums))
     if pairs:
         for x, y in spec.pairs():
             ax, ay = spec.attr(x), spec.attr(y)
             entries.append(F.struct(F.lit(f"{x}|{y}").alias("pair"), F.lit(f"{x}|{y}").alias("entity_type"),
                                     F.col(ax.column).alias("a"), F.col(ay.column).alias("b"),
-                                    *[none.alias(f"u_{m}") for m in METRICS]))
+                                    *none))
     if total:
         entries.append(F.struct(F.lit(ALL).alias("pair"), F.lit(ALL).alias("entity_type"),
                                 F.lit(ALL).alias("a"), F.lit(None).cast("string").alias("b"),
-                                *[none.alias(f"u_{m}") for m in METRICS]))
+                                *none))
     e = (combos.select("c", F.inline(F.array(*entries)))
                .where(F.col("a").isNotNull() & (F.col("pair").isin(NODE, ALL) | F.col("b").isNotNull())))
     return (e.groupBy("pair", "entity_type", "a", "b")
-             .agg(F.sum("c").alias("n"), *[F.sum(f"u_{m}").alias(f"s_{m}") for m in METRICS]))
+             .agg(F.sum("c").alias("n"), *[F.sum(f"u_{m}").alias(f"s_{m}") for m in METRICS],
+                  *[F.sum(f"v_{m}").alias(f"k_{m}") for m in METRICS]))
 
 
 def _avg(m: str, spec: GraphSpec) -> Column:
-    return rounded_ratio(F.col(f"s_{m}"), F.col("n"), spec.metric_scale[m], SOURCE_DECIMALS[m])
+    return rounded_mean(F.col(f"s_{m}"), F.col(f"k_{m}"), spec.metric_scale[m])
 
 
 def profile_from_facts(facts: DataFrame, spec: GraphSpec = HEALTHCARE) -> DataFrame:

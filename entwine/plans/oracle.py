@@ -3,7 +3,7 @@ views of the given tables. Written independently of the Spark code."""
 
 from __future__ import annotations
 
-from .sqlparts import (CLEAN, SPEC, VISITS, ctes, fmt_fixed, fmt_int, rr, strip, title, units)
+from .sqlparts import (CLEAN, SPEC, VISITS, ctes, exact, fmt_fixed, fmt_int, rr, strip, title, units)
 
 ORACLE: dict[str, str] = {}
 
@@ -57,7 +57,7 @@ FROM profile"""
 
 # ---------------------------------------------------------------- 2.3 filters
 ORACLE["filter_entity_equality"] = (f"{WC} SELECT {HUB} AS entity, count(*) AS n_rows, "
-                                    f"sum({units('billing_amount', 2)})::BIGINT AS billing_cents "
+                                    f"{hu('sum(' + exact('billing_amount') + ')', '10000000000')}::BIGINT AS billing_cents "
                                     f"FROM clean WHERE {HUB} IS NOT NULL GROUP BY 1")
 ORACLE["filter_stats_by_type"] = f"""{ctes('profile')},
 sel AS (SELECT DISTINCT entity_type AS selected FROM profile UNION ALL SELECT 'All')

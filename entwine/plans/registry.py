@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
-from ..functions.numeric import rounded_ratio, whole_units
+from ..functions.numeric import exact_column, rounded_ratio, rounded_units, whole_units
 from ..operators import clean as C
 from ..operators import profile as P
 from ..operators.ranking import row_numbers
@@ -127,13 +127,12 @@ def stats_display(c: Ctx) -> DataFrame:
 @reg("filter_entity_equality")
 def filter_entity_equality(c: Ctx) -> DataFrame:
     """Rows of the fact table for each hub entity: the reference's per-entity mask
-    loop as one grouped pass (row count and billing units per entity)."""
+    loop as one grouped pass (row count and billing in cents per entity)."""
     hub = c.spec.attr(c.spec.hub).column
-    from ..functions.numeric import to_units
     return (c.clean.where(F.col(hub).isNotNull())
              .groupBy(F.col(hub).alias("entity"))
              .agg(F.count(F.lit(1)).alias("n_rows"),
-                  F.sum(to_units("billing_amount", 2)).cast("long").alias("billing_cents")))
+                  rounded_units(F.sum(exact_column(c.clean, "billing_amount")), 2).alias("billing_cents")))
 
 
 @reg("filter_stats_by_type")

@@ -22,6 +22,11 @@ def units(x: str, dec: int) -> str:
     return f"round(({x}) * {10 ** dec})::HUGEINT"
 
 
+def exact(x: str) -> str:
+    """A number by its shortest decimal text, in units of 1e-12; NaN counts as missing."""
+    return f"(CASE WHEN NOT isnan(({x})::DOUBLE) THEN (({x})::VARCHAR::DECIMAL(28,12) * 1000000000000::HUGEINT)::HUGEINT END)"
+
+
 def fmt_int(x: str) -> str:
     return f"format('{{:,}}', ({x})::BIGINT)"
 
@@ -60,7 +65,6 @@ CLEAN = f"""clean AS (
 
 BASE = f"WITH {VISITS},\n{CLEAN}"
 
-SOURCE_DECIMALS = {"age": 0, "billing": 2, "stay": 0}
 METRIC_COL = SPEC.metric_columns
 
 
@@ -68,7 +72,7 @@ def node_entries(src: str = "clean") -> str:
     """UNION ALL of (entity_type, entity, metric units) per node attribute."""
     parts = []
     for a in SPEC.node_attrs:
-        mcols = ", ".join(f"{units(METRIC_COL[m], SOURCE_DECIMALS[m])} AS u_{m}" for m in ("age", "billing", "stay"))
+        mcols = ", ".join(f"{exact(METRIC_COL[m])} AS u_{m}" for m in ("age", "billing", "stay"))
         parts.append(f"SELECT '{a.node_type}' AS entity_type, {a.column} AS entity, {mcols} FROM {src} "
                      f"WHERE {a.column} IS NOT NULL")
     return "\nUNION ALL\n".join(parts)
@@ -79,7 +83,7 @@ def profile_cte(src: str = "clean", name: str = "profile") -> str:
     for m in ("age", "billing", "stay"):
         types = ", ".join(f"'{a.node_type}'" for a in SPEC.node_attrs if m in a.metrics)
         avgs.append(f"CASE WHEN entity_type IN ({types}) THEN "
-                    f"{rr(f'sum(u_{m})', 'count(*)', SPEC.metric_scale[m], SOURCE_DECIMALS[m])} END AS avg_{m}")
+                    f"{rr(f'sum(u_{m}) * {10 ** SPEC.metric_scale[m]}', f'(count(u_{m})::HUGEINT * 1000000000000)', 0)} / {float(10 ** SPEC.metric_scale[m])} END AS avg_{m}")
     return (f"{name} AS (SELECT entity_type, entity, count(*) AS patient_count, {', '.join(avgs)}\n"
             f"FROM ({node_entries(src)}) GROUP BY entity_type, entity)")
 

@@ -75,3 +75,25 @@ def test_rejected_dates_are_returned(spark):
     assert sorted(map(tuple, date_audit(df).collect())) == [("date_of_admission", 1, 2, 2), ("discharge_date", 2, 1, 2)]
     typed = clean_dates(good)
     assert split_dates(typed)[1].count() == 0 and date_audit(typed.limit(0)).collect() == []
+
+
+def test_metrics_are_rounded_once_and_missing_values_are_left_out(spark):
+    """Averages of raw values: 0.004 a row would vanish if rows were rounded to cents first."""
+    from decimal import Decimal, ROUND_HALF_UP
+
+    from entwine.functions.numeric import exact_column, rounded_mean, rounded_units
+
+    values = [0.004, 0.004, 0.007, None, float("nan"), 1234567.125, -3.3333333]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    x = exact_column(df, "v")
+    got = df.agg(*[rounded_mean(F.sum(x), F.count(x), d).alias(f"d{d}") for d in (0, 1, 2)],
+                 rounded_units(F.sum(x), 2).alias("cents")).first()
+    kept = [Decimal(repr(v)) for v in values if v is not None and v == v]
+    for d in (0, 1, 2):
+        want = (sum(kept) / len(kept)).quantize(Decimal(1).scaleb(-d), ROUND_HALF_UP)
+        assert got[f"d{d}"] == float(want)
+    assert got["cents"] == int((sum(kept) * 100).quantize(Decimal(1), ROUND_HALF_UP))
+    ties = spark.createDataFrame([(0.01,), (0.02,), (-0.01,), (-0.02,)], "v double").withColumn("g", F.col("v") > 0)
+    t = exact_column(ties, "v")
+    assert {r.g: r.m for r in ties.groupBy("g").agg(rounded_mean(F.sum(t), F.count(t), 2).alias("m")).collect()} == {True: 0.02, False: -0.02}
+    assert df.where("v > 1e9").agg(rounded_mean(F.sum(x), F.count(x), 2)).first()[0] is None
