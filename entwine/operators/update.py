@@ -19,8 +19,9 @@ TIE_BREAK = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity
              "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 
 
-def recent_batch(clean: DataFrame, n: int, date: str = "date_of_admission", tie_break: tuple[str, ...] = TIE_BREAK) -> DataFrame:
-    """The ``n`` most recent records by ``date``, then ``tie_break`` (both descending).
+def recent_batch(clean: DataFrame, n: int, date: str = "date_of_admission", tie_break: tuple[str, ...] | None = TIE_BREAK) -> DataFrame:
+    """The ``n`` most recent records by ``date``, then ``tie_break`` (both descending; None: all other
+    columns, so that only equal records are interchangeable).
 
     Records are counted per day (map-side partial sums, a row for each day); the latest day
     with ``n`` records on it or after it is the cutoff, a scalar that Catalyst pushes to the scans. Only
@@ -30,8 +31,10 @@ def recent_batch(clean: DataFrame, n: int, date: str = "date_of_admission", tie_
     per_day = clean.groupBy((F.date_trunc("day", date) if timed else F.col(date)).alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
     upto = per_day.withColumn("_upto", F.sum("_n").over(Window.orderBy(F.desc_nulls_last("_day"))))
     cutoff = upto.where(F.col("_upto") >= n).agg(F.max_by("_day", -F.col("_upto"))).scalar()
+    if tie_break is None:
+        tie_break = tuple(c for c in clean.columns if c != date)
     late = clean.where(cutoff.isNull() | (F.col(date) >= cutoff))
-    return late.orderBy(F.desc_nulls_last(date), *(F.desc(c) for c in tie_break)).limit(n)
+    return late.orderBy(F.desc_nulls_last(date), *(F.desc_nulls_last(c) for c in tie_break)).limit(n)
 
 
 def upsert_nodes(base: DataFrame, batch_counts: DataFrame, spec: GraphSpec = HEALTHCARE) -> DataFrame:

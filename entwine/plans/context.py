@@ -12,21 +12,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import clean as C
 from ..operators import profile as P
+from ..operators.update import TIE_BREAK, recent_batch
 from ..sources.tables import raw_visits, read_table
 from ..session import cut_lineage
 from ..spec import GraphSpec, HEALTHCARE
 
 
 class Ctx:
-    def __init__(self, spark: SparkSession, sf_dir: str, spec: GraphSpec = HEALTHCARE):
+    """The given tables below ``sf_dir``, or with ``facts`` a user's own fact table (see
+    ``sources.facts``), whose records ``tie_break`` orders among equal dates."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str | None = None, spec: GraphSpec = HEALTHCARE,
+                 facts: DataFrame | None = None, tie_break: tuple[str, ...] | None = None):
         self.spark, self.sf_dir, self.spec = spark, sf_dir, spec
+        self._facts, self._tie_break = facts, TIE_BREAK if facts is None else tie_break
 
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
 
     @cached_property
     def raw(self) -> DataFrame:
-        return raw_visits(self.spark, self.sf_dir)
+        return raw_visits(self.spark, self.sf_dir) if self._facts is None else self._facts
 
     @cached_property
     def clean(self) -> DataFrame:
@@ -125,8 +131,7 @@ class Ctx:
     def batch(self) -> DataFrame:
         """The N most recent records (N = spec.update_batch_size), materialised once:
         bounded by the parameter, read by both batch aggregates."""
-        from ..operators.update import recent_batch
-        return cut_lineage(recent_batch(self.clean, self.spec.update_batch_size))
+        return cut_lineage(recent_batch(self.clean, self.spec.update_batch_size, tie_break=self._tie_break))
 
     @cached_property
     def batch_facts(self) -> DataFrame:

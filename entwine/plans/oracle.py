@@ -227,6 +227,15 @@ SELECT 'nodes' AS kind, count(*) FILTER (WHERE status = 'new') AS n_new,
   count(*) FILTER (WHERE status = 'updated') AS n_updated, count(*) AS n_total FROM nodes
 UNION ALL
 SELECT 'edges', count(*) FILTER (WHERE status = 'new'), count(*) FILTER (WHERE status = 'updated'), count(*) FROM edges"""
+_ORDER = ["date_of_admission", "name", "discharge_date", *CATS, "age", "billing_amount", "length_of_stay"]
+_FACTS = ", ".join(["name", "date_of_admission", "discharge_date", *CATS, "age", "billing_amount"])
+ORACLE["scan_mapped"] = f"{W} SELECT {_FACTS} FROM visits WHERE year(date_of_admission) <> 1995"
+ORACLE["scan_mapped_rejects"] = f"""{W} SELECT l_orderkey::VARCHAR AS length_of_stay, name AS "Name",
+  billing_amount AS "Billing Amount", 'in 1995' AS "Date of Admission", 'date_of_admission' AS reasons
+FROM visits WHERE year(date_of_admission) = 1995"""
+_LATER = UPD.replace("  FROM visits)", "  FROM visits WHERE year(date_of_admission) <> 1995)").replace(
+    BATCH, f"batch AS (SELECT * FROM clean ORDER BY {', '.join(f'{x} DESC' for x in _ORDER)} LIMIT {SPEC.update_batch_size})")
+ORACLE["update_mapped"] = f"{_LATER} {_up_edges('edges0', 'edges_b')}"
 ORACLE["graph_update"] = (f"{UPD2},\n{degree_ctes()} SELECT id, label AS node, coalesce(node_type, 'unknown') AS node_type, "
                           f"degree, centrality, coalesce(count, 0)::BIGINT AS patient_count FROM cen")
 ORACLE["stream_graph_update"] = ("SELECT 'user:' || user_id::VARCHAR AS src, 'event_type:' || event_type AS dst, "

@@ -16,6 +16,7 @@ from ..operators import clean as C
 from ..operators import profile as P
 from ..operators.ranking import row_numbers
 from ..session import cut_lineage, scratch_path
+from ..sources.facts import read_facts
 from .context import Ctx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +47,43 @@ def scan_sample(c: Ctx) -> DataFrame:
     return c.raw.orderBy(*LINE_KEY).select(*cols).limit(6)
 
 
+#: Headers of a table that is not ours, as a user's file may have them.
+FOREIGN = {"name": "Name", "age": "Age", "gender": "Sex", "blood_type": "Blood Type", "medical_condition": "Medical Condition",
+           "medication": "Medication", "insurance_provider": "Insurance Provider", "admission_type": "Admission Type",
+           "test_results": "Test Results", "date_of_admission": "Date of Admission", "discharge_date": "Discharge Date",
+           "billing_amount": "Billing Amount"}
+
+
+def _foreign(c: Ctx) -> tuple[DataFrame, DataFrame]:
+    """The fact table written as CSV under other headers, dates of 1995 admissions as text that is no
+    date and a column besides that has the name of a derived one, then read by the mapping."""
+    bad = F.year("date_of_admission") == 1995
+    columns = [F.when(bad, F.lit("in 1995")).otherwise(F.col(k).cast("string")).alias(v) if k == "date_of_admission"
+               else F.col(k).alias(v) for k, v in FOREIGN.items()]
+    path = scratch_path(c.spark, "foreign")
+    c.raw.select(F.col("l_orderkey").alias("length_of_stay"), *columns).write.options(**IO.CSV, emptyValue='""').csv(path)
+    return read_facts(c.spark, path, FOREIGN)
+
+
+@reg("scan_mapped")
+def scan_mapped(c: Ctx) -> DataFrame:
+    """Rows of a table with other headers, typed."""
+    return _foreign(c)[0]
+
+
+@reg("scan_mapped_rejects")
+def scan_mapped_rejects(c: Ctx) -> DataFrame:
+    """Its rejected rows, as they came."""
+    return _foreign(c)[1].select("length_of_stay", "Name", F.col("Billing Amount").cast("double").alias("Billing Amount"), "Date of Admission", F.array_join("reasons", ",").alias("reasons"))
+
+
+@reg("update_mapped")
+def update_mapped(c: Ctx) -> DataFrame:
+    """Edges of the graph of a table with other headers, updated with its most recent records."""
+    facts = cut_lineage(_foreign(c)[0])
+    return _updated(Ctx(c.spark, facts=facts, spec=c.spec))[1]
+
+
 # ---------------------------------------------------------------- 2.2 cleaning
 @reg("clean_title_case")
 def clean_title_case(c: Ctx) -> DataFrame:
