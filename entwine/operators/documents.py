@@ -60,10 +60,19 @@ def render(template: str, parts: dict[str, Column]) -> Column:
         if lit:
             out.append(F.lit(lit))
         if field is not None:
-            out.append(parts[field])
+            out.append(F.coalesce(parts[field], F.lit(MISSING)))
     return F.concat(*out)
 
 
+#: Written in place of a figure that is null.
+MISSING = "n/a"
+
+
+def total_or_default(total: Column | None, spec: GraphSpec = HEALTHCARE) -> Column:
+    default = F.lit(spec.total_default).cast("long")
+    return default if total is None else F.coalesce(total, default)
+
+
 def _dist_map(texts: DataFrame) -> DataFrame:
     """(entity_type, entity) → map dist_column → struct(top3_patients, top3, breakdown)."""
     return (texts.groupBy("entity_type", "entity")
@@ -71,8 +80,10 @@ def _dist_map(texts: DataFrame) -> DataFrame:
                      "dist_column", F.struct("top3_patients", "top3", "breakdown")))).alias("dm")))
 
 
-def entity_documents(profile: DataFrame, texts: DataFrame, total: Column, node_type: str,
+def entity_documents(profile: DataFrame, texts: DataFrame, total: Column | None, node_type: str,
                      spec: GraphSpec = HEALTHCARE) -> DataFrame:
+    """A document for each entity of a type. Without a ``total`` (or with a null one) shares are of
+    the spec's default total; a figure that no record has is written as MISSING."""
     template = {"condition": CONDITION_TEMPLATE, "medication": MEDICATION_TEMPLATE,
                 "insurer": INSURER_TEMPLATE}[node_type]
     p = profile.where(F.col("entity_type") == node_type)
@@ -82,7 +93,7 @@ def entity_documents(profile: DataFrame, texts: DataFrame, total: Column, node_t
     def dist(key: str, field: str) -> Column:
         return F.coalesce(F.col("dm")[key][field], F.lit(""))
 
-    pct = rounded_ratio(F.col("patient_count") * 100, total, 1)
+    pct = rounded_ratio(F.col("patient_count") * 100, total_or_default(total, spec), 1)
     parts = {
         "name": F.col("entity"),
         "count": fmt_int("patient_count"),
@@ -143,7 +154,7 @@ def emergency_insight(profile: DataFrame, dist: DataFrame, spec: GraphSpec = HEA
                     F.lit("insight").alias("entity_type"), F.lit(EMERGENCY_NAME).alias("entity_name"))
 
 
-def rag_documents(profile: DataFrame, texts: DataFrame, dist: DataFrame, total: Column,
+def rag_documents(profile: DataFrame, texts: DataFrame, dist: DataFrame, total: Column | None,
                   spec: GraphSpec = HEALTHCARE) -> DataFrame:
     """All documents: id, text, entity_type, entity_name."""
     parts = [entity_documents(profile, texts, total, t, spec) for t in ("condition", "medication", "insurer")]

@@ -49,6 +49,14 @@ def count_vectors(df: DataFrame, keys: list[str], text: str, dim: int = DIM) ->
     return t.groupBy(*keys).agg(F.array(*[F.count_if(F.col("_b") == b) for b in range(dim)]).alias("vec"))
 
 
+def unit_vectors(df: DataFrame, keys: list[str], text: str, dim: int = DIM) -> DataFrame:
+    """keys…, embedding array<float>: ``count_vectors`` at unit length, zeros for a text without tokens."""
+    v = count_vectors(df, keys, text, dim)
+    norm = F.sqrt(F.aggregate("vec", F.lit(0).cast("long"), lambda s, x: s + x * x).cast("double"))
+    unit = F.transform("vec", lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)).cast("float"))
+    return v.select(*keys, unit.alias("embedding"))
+
+
 def dense(df: DataFrame, keys: list[str], post: DataFrame, dim: int = DIM) -> DataFrame:
     """keys…, embedding array<float> of length dim, L2-normalised (zero vector for a
     text without tokens). The per-row map holds at most ``dim`` entries."""

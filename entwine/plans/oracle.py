@@ -147,7 +147,8 @@ ORACLE["edge_tooltip"] = f"{GR} SELECT src, dst, title FROM edges"
 ORACLE["tooltip_plain"] = (f"{GR} SELECT id, {plain('title')} AS tooltip FROM nodes UNION ALL "
                            f"SELECT src || '->' || dst, {plain('title')} FROM edges")
 ORACLE["attr_defaults"] = f"""{GR},
-ids AS (SELECT id FROM nodes UNION SELECT src FROM edges UNION SELECT dst FROM edges)
+ids AS (SELECT id FROM nodes UNION SELECT src FROM edges UNION SELECT dst FROM edges
+  UNION SELECT 'event_type:' || event_type FROM events WHERE event_type IS NOT NULL)
 SELECT ids.id, coalesce(color, '{SPEC.default_color}') AS color, coalesce(node_type, '{SPEC.default_node_type}') AS node_type,
   coalesce(count, 0)::BIGINT AS count FROM ids LEFT JOIN nodes USING (id)"""
 ORACLE["color_lookup"] = f"{GR} SELECT id, node_type, color FROM nodes"
@@ -343,7 +344,16 @@ hits AS (SELECT qk AS {q_key}, row_number() OVER (PARTITION BY qk ORDER BY {_DIS
 
 
 RET = DOCS_ALL + ",\n" + _QS + ",\n" + _topk_ctes("qs", "qid", "question", "4")
-ORACLE["embed_documents"] = f"{_post('documents', 'doc_id', 'text')}"
+ORACLE["embed_postings"] = f"{_post('documents', 'doc_id', 'text')}"
+ORACLE["embed_documents"] = f"""WITH p AS ({_post('documents', 'doc_id', 'text')}), norms AS (SELECT doc_id, sqrt(sum(n * n)::DOUBLE) AS norm FROM p GROUP BY doc_id),
+cells AS (SELECT i.doc_id, b.bucket, coalesce(round((p.n / norm)::FLOAT::DOUBLE * 1048576)::BIGINT, 0) AS x
+  FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) AS i CROSS JOIN range({DIM}) AS b(bucket)
+  LEFT JOIN p ON p.doc_id = i.doc_id AND p.bucket = b.bucket LEFT JOIN norms ON norms.doc_id = i.doc_id)
+SELECT doc_id, string_agg(x::VARCHAR, ',' ORDER BY bucket) AS embedding FROM cells GROUP BY doc_id"""
+ORACLE["documents_store"] = f"{DOCS_ALL} SELECT id, text, entity_type, entity_name FROM rag"
+ORACLE["embed_collection"] = (f"{DOCS_ALL}, p AS ({_post('rag', 'id', 'text')}) SELECT id, entity_type, entity_name, {DIM}::BIGINT AS dim, "
+                              f"(SELECT count(*) FROM p WHERE p.id = rag.id) AS nonzero FROM rag")
+ORACLE["vector_store"] = ORACLE["embed_collection"]
 ORACLE["embed_query"] = f"WITH {_QS} {_post('qs', 'qid', 'question')}"
 ORACLE["embed_dimension_check"] = f"SELECT count(*) AS n_vectors, {DIM}::BIGINT AS min_dim, {DIM}::BIGINT AS max_dim FROM documents"
 ORACLE["vector_topk"] = f"{RET} SELECT * FROM hits"

@@ -318,10 +318,11 @@ def tooltip_plain(c: Ctx) -> DataFrame:
 
 @reg("attr_defaults")
 def attr_defaults(c: Ctx) -> DataFrame:
-    """Every node id the graph mentions (nodes and edge endpoints) with its display
-    attributes, falling back to the defaults where a node carries none."""
+    """Every node id the graph mentions (nodes and edge endpoints, the event types that no
+    node table holds among them) with its display attributes, falling back to the defaults where a node carries none."""
     ends = c.edges.select(F.col("src").alias("id")).unionByName(c.edges.select(F.col("dst").alias("id")))
-    ids = c.nodes.select("id").unionByName(ends).distinct()
+    events = c.table("events").where("event_type is not null").select(F.concat(F.lit("event_type:"), "event_type").alias("id")).distinct()
+    ids = c.nodes.select("id").unionByName(ends).unionByName(events).distinct()
     j = ids.join(c.nodes, "id", "left")
     return j.select("id",
                     F.coalesce("color", F.lit(c.spec.default_color)).alias("color"),
@@ -530,7 +531,16 @@ from ..operators import vectors as V  # noqa: E402
 
 @reg("embed_documents")
 def embed_documents(c: Ctx) -> DataFrame:
-    """Hashed term counts of every text of the ``documents`` table (whole texts)."""
+    """The vector of every text of the ``documents`` table (whole texts), as text: components in
+    units of 2**-20."""
+    d = V.unit_vectors(c.table("documents").where("doc_id is not null"), ["doc_id"], "text")
+    whole = F.transform("embedding", lambda x: F.round(x.cast("double") * (1 << 20)).cast("long").cast("string"))
+    return d.select("doc_id", F.array_join(whole, ",").alias("embedding"))
+
+
+@reg("embed_postings")
+def embed_postings(c: Ctx) -> DataFrame:
+    """Hashed term counts of the same texts, a row for each bucket that a text uses."""
     return V.postings(c.table("documents"), ["doc_id"], "text")
 
 

@@ -56,3 +56,25 @@ def test_typed_tables_and_wrong_names(spark, table, tmp_path):
     for columns in ({"name": "Nobody"}, {"length_of_stay": "Name"}):
         with pytest.raises(ValueError, match="unknown columns"):
             read_facts(spark, table, columns)
+
+
+def test_documents_of_a_table_without_some_figures(spark, table):
+    from entwine.operators.documents import rag_documents
+
+    mapping = {k: v for k, v in MAPPING.items() if k != "age"}
+    c = Ctx(spark, facts=read_facts(spark, table, mapping)[0])
+    texts = {r.id: r.text for r in rag_documents(c.profile, c.texts, c.dist, None, c.spec).collect()}
+    assert all(texts.values()) and "n/a" in texts["condition_flu"]
+    assert "0.0%" in texts["condition_flu"]  # 3 records of the default total
+    assert "50.0%" in c.documents.where("id = 'condition_flu'").first().text  # of its own, the rejected age row included
+
+
+def test_vectors_have_unit_length(spark):
+    import numpy as np
+
+    from entwine.operators.vectors import unit_vectors
+
+    rows = spark.createDataFrame([(1, "a b b c"), (2, ""), (3, None), (4, "Ünï b")], "k long, t string")
+    got = {r.k: np.array(r.embedding) for r in unit_vectors(rows, ["k"], "t").collect()}
+    assert {k: len(v) for k, v in got.items()} == dict.fromkeys([1, 2, 3, 4], 64)
+    assert [round(float(np.linalg.norm(got[k])), 5) for k in (1, 2, 3, 4)] == [1, 0, 0, 1]
