@@ -73,17 +73,23 @@ def topk(queries: DataFrame, q_key: str, corpus: DataFrame, d_key: str, k: int |
     if vector_bytes(ds, "_d", "_v") <= sent_bytes:
         found = _to_corpus(qs, ds, kinds, metric)
     else:
-        blocks = max(1, -(-vector_bytes(qs, "_q", "_v") // sent_bytes))
-        found = None
-        for b in range(blocks):
-            part = _to_queries(qs.where(F.pmod(F.xxhash64("_q"), F.lit(blocks)) == b) if blocks > 1 else qs, ds, kinds, metric)
-            found = part if found is None else found.unionByName(part)
-        found = found.join(qs.select("_q", "_k"), "_q")
+        found = by_queries(qs, ds, kinds, metric, sent_bytes).join(qs.select("_q", "_k"), "_q")
     rank = F.row_number().over(Window.partitionBy("_q").orderBy("distance", "_d"))
     ranked = found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= F.col("_k") if "_k" in found.columns else F.lit(True))
     return ranked.select(F.col("_q").alias(q_key), "rank", F.col("_d").alias(d_key), "distance")
 
 
+def by_queries(qs: DataFrame, ds: DataFrame, kinds: str, metric: Callable, sent_bytes: int = SENT_BYTES, read: Callable = matrix) -> DataFrame:
+    """(_q, _d, distance): the best ``_k`` of each task's rows of ``ds`` for every query, which are sent out
+    in blocks of at most ``sent_bytes``; ``read`` gives the vectors of a column of ``ds``."""
+    blocks = max(1, -(-vector_bytes(qs, "_q", "_v") // sent_bytes))
+    found = None
+    for b in range(blocks):
+        part = _to_queries(qs.where(F.pmod(F.xxhash64("_q"), F.lit(blocks)) == b) if blocks > 1 else qs, ds, kinds, metric, read)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def _sent(df: DataFrame) -> pa.Table:
     return df.toArrow().combine_chunks()
 
@@ -117,7 +123,7 @@ def _to_corpus(qs: DataFrame, ds: DataFrame, kinds: str, metric: Callable) -> Da
     return qs.mapInArrow(run, kinds)
 
 
-def _to_queries(qs: DataFrame, ds: DataFrame, kinds: str, metric: Callable) -> DataFrame:
+def _to_queries(qs: DataFrame, ds: DataFrame, kinds: str, metric: Callable, read: Callable = matrix) -> DataFrame:
     """(_q, _d, distance): the best of each task's corpus rows for a block of queries, sent out."""
     table = _sent(qs)
     if not table.num_rows:
@@ -134,7 +140,7 @@ def _to_queries(qs: DataFrame, ds: DataFrame, kinds: str, metric: Callable) -> D
                 part = batch.slice(at, step)
                 ids = np.array(part.column(0).to_pylist(), object)
                 order = np.argsort(ids, kind="stable")
-                ids, d = ids[order], matrix(part.column(1))[order]
+                ids, d = ids[order], read(part.column(1))[order]
                 far = metric(q @ d.T, qq, (d * d).sum(axis=1))
                 row, col = smallest(far, min(most, len(d)))
                 rows, fars, found = np.concatenate([held_row, row]), np.concatenate([held_far, far[row, col]]), np.concatenate([held_id, ids[col]])

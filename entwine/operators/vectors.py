@@ -8,7 +8,7 @@ arrays of whole-number counts, whose distances are exact. A user-given model can
 be plugged in through ``embed_with`` (an iterator ``pandas_udf``: the model is
 loaded once per Python worker and fed Arrow batches).
 
-The exact search over such vectors, or any others, is in ``nearest``.
+The exact search over such vectors, or any others, is in ``nearest``, the approximate one in ``approximate``.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIM = 64
@@ -85,22 +85,3 @@ def embed_with(df: DataFrame, text: str, model_factory, dim: int, out: str = "em
 
     return df.withColumn(out, _embed(F.col(text)))
 
-
-def lsh_topk(queries: DataFrame, q_key: str, corpus: DataFrame, d_key: str, k: int = 4,
-             bucket_length: float = 1.0, tables: int = 8, seed: int = 17) -> DataFrame:
-    """Approximate top-k with random-projection LSH (the vector store's index is
-    approximate too). Candidates are pairs sharing a hash bucket in any table and
-    closer than sqrt(2); recall against ``topk`` is measured in the tests."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    qv = queries.select(F.col(q_key).alias("_q"), array_to_vector("embedding").alias("v"))
-    dv = corpus.select(F.col(d_key).alias("_d"), array_to_vector("embedding").alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
-                                        numHashTables=tables, seed=seed).fit(dv)
-    pairs = model.approxSimilarityJoin(qv, dv, 2.0 ** 0.5, distCol="dist")
-    p = pairs.select(F.col("datasetA._q").alias("_q"), F.col("datasetB._d").alias("_d"),
-                     (F.col("dist") * F.col("dist")).alias("distance"))
-    w = Window.partitionBy("_q").orderBy("distance", "_d")
-    return (p.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
-             .select(F.col("_q").alias(q_key), "rank", F.col("_d").alias(d_key), "distance"))

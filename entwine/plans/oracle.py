@@ -505,3 +505,5 @@ ORACLE["graph_json_lines"] = ORACLE["graph_json_import"]
 ORACLE["graph_metadata_csv"] = ORACLE["graph_metadata"]
 ORACLE["stats_table_replace"] = ORACLE["entity_stats"]
 ORACLE["graph_replace_in_place"] = f"{UPD2} SELECT src, dst, relationship, weight, title FROM edges"
+ORACLE["vector_ann_recall"] = """SELECT (SELECT count(*) FROM embeddings WHERE vec_id % 50 = 0) * least(10, (SELECT count(*) FROM embeddings WHERE vec_id IS NOT NULL)) AS n_exact,
+  true AS recall_reached"""

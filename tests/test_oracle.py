@@ -10,7 +10,6 @@ import __spark_entry__ as E
 from entwine.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
-SKIP = {"vector_topk_ann"}
 
 
 def _norm(v):
@@ -36,7 +35,7 @@ def duck():
     return con
 
 
-ORACLE_KEYS = sorted(k for k in E.oracle_sql() if k not in SKIP)
+ORACLE_KEYS = sorted(E.oracle_sql())
 
 
 @pytest.mark.parametrize("key", ORACLE_KEYS)
@@ -77,6 +76,6 @@ def test_json_export_import_identity(spark):
 
 def test_ann_recall_against_exact(spark):
     q = E.queries()
-    exact = {(r.qid, r.doc_id) for r in q["vector_topk"](spark, SF).collect()}
-    ann = {(r.qid, r.id) for r in q["vector_topk_ann"](spark, SF).collect()}
-    assert len(ann & exact) / max(1, len(exact)) >= 0.5
+    exact = {(r.vec_id, r.neighbour_id) for r in q["vector_topk_embeddings"](spark, SF).collect()}
+    ann = {(r.vec_id, r.neighbour_id) for r in q["vector_topk_ann"](spark, SF).collect()}
+    assert len(ann) == len(exact) and len(ann & exact) >= 0.9 * len(exact)
