@@ -4,7 +4,7 @@ Method: a window of a document has as many words as an item. Where shingle ``p``
 document (a run of five words) equals shingle ``q`` of the item, ``p - q`` is an aligned
 start. All starts between an item's least and largest aligned one are taken (moved inside
 the document's ends) whose window holds as many of the item's shingles as the similarity
-needs; a best window is among them, since one left of all its aligned starts can move right
+needs, and of windows with the same shingles the first; a best window is among them, since one left of all its aligned starts can move right
 without loss, and likewise to the left. Windows and items get a 64-bit SimHash of their
 shingles, repeats included. Thirty-two blocks of two bits index them: fingerprints at most 31 bits
 apart agree in a block, so the join on (item, block, bits) finds all pairs within the
@@ -23,7 +23,7 @@ is compared as a whole. Repeated rows of either table give the pair once. Rows w
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, checkpointed, small, words, written
@@ -79,15 +79,32 @@ def starts(least: float) -> Column:
     n, last = F.col("n"), F.greatest(F.lit(0), F.col("len") - F.col("n"))
     inside = lambda x: F.greatest(F.lit(0), F.least(x, last))
     need = F.greatest(F.lit(1), F.ceil(F.lit(least) * (n + F.least(n, F.col("len"))) / F.lit(1 + least) - F.lit(1e-9)).cast("int"))
+    before = lambda i: F.when(i > 0, F.least(inside(F.col("hi")), F.get("ps", i - 1)) + 1)  # noqa: E731  # behind the last span, so that none is twice
     spans = F.transform("ps", lambda p, i: F.struct(
-        F.greatest(inside(F.col("lo")), F.get("ps", i + need - 1) - n + 1).alias("a"), F.least(inside(F.col("hi")), p).alias("b"),
+        F.greatest(inside(F.col("lo")), F.get("ps", i + need - 1) - n + 1, before(i)).alias("a"), F.least(inside(F.col("hi")), p).alias("b"),
         F.get("ps", i + need - 1).isNotNull().alias("full")))
-    return F.array_distinct(F.flatten(F.transform(F.filter(spans, lambda s: s["full"] & (s["a"] <= s["b"])), lambda s: F.sequence(s["a"], s["b"]))))
+    return F.flatten(F.transform(F.filter(spans, lambda s: s["full"] & (s["a"] <= s["b"])), lambda s: F.sequence(s["a"], s["b"])))
+
+
+def first_starts(hit: DataFrame) -> DataFrame:
+    """(doc_id, k, item_id, ik, n, start) of ``hit`` (doc_id, k, sh, spans): of an item's windows of a text
+    that hold the same shingles, the first. Windows are told apart by the differences of two running
+    sums of 31-bit hashes, on narrow rows, so that a text that repeats itself is not cut at every start."""
+    part = lambda seed: F.pmod(F.xxhash64("h", F.lit(seed)), F.lit(1 << 31))
+    upto = Window.partitionBy("doc_id", "k").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    sums = (hit.select("doc_id", "k", F.posexplode("sh").alias("p", "h"))
+            .select("doc_id", "k", (F.col("p") + 1).alias("p"), F.sum(part(1)).over(upto).alias("s1"), F.sum(part(2)).over(upto).alias("s2")))
+    at = hit.select("doc_id", "k", F.size("sh").alias("len"), F.inline("spans")).select("doc_id", "k", "len", "item_id", "ik", "n", F.explode("starts").alias("start"))
+    zero = F.lit(0).cast("long")
+    ends = (at.withColumn("p", F.least(F.col("start") + F.col("n"), F.col("len"))).join(sums, ["doc_id", "k", "p"]).drop("p")
+            .withColumnsRenamed({"s1": "e1", "s2": "e2"}).withColumn("p", F.col("start")).join(sums, ["doc_id", "k", "p"], "left"))
+    held = [(F.col("e1") - F.coalesce("s1", zero)).alias("b1"), (F.col("e2") - F.coalesce("s2", zero)).alias("b2")]
+    return ends.groupBy("doc_id", "k", "item_id", "ik", "n", *held).agg(F.min("start").alias("start")).drop("b1", "b2")
 
 
 def windows_of(docs: DataFrame, items: DataFrame, size: int = SHINGLE, least: float = SIMILARITY, rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, k, item_id, ik, start, n, wsh): an item's windows of ``n`` shingles, each once; ``k`` and
-    ``ik`` are hashes of the text and of the item's shingles. Shared shingles are found on
+    ``ik`` are hashes of the text and of the item's shingles; of windows with the same shingles the first. Shared shingles are found on
     narrow rows; only documents that have enough are read again."""
     own = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("k"), "text")
     marks = (items.select("item_id", "ik", F.size("ish").alias("n"), F.posexplode("ish").alias("q", "h"))
@@ -97,10 +114,13 @@ def windows_of(docs: DataFrame, items: DataFrame, size: int = SHINGLE, least: fl
           .agg(F.array_sort(F.collect_set("p")).alias("ps"), F.min(F.col("p") - F.col("q1")).alias("lo"), F.max(F.col("p") - F.col("q0")).alias("hi"))
           .select("doc_id", "k", "item_id", "ik", "n", starts(least).alias("starts")).where(F.size("starts") > 0))
     lists = written(at.groupBy("doc_id", "k").agg(F.collect_list(F.struct("item_id", "ik", "n", "starts")).alias("spans")), "decontaminate-spans")
-    hit = with_shingles(own.join(small(lists, rows), ["doc_id", "k"]).select("doc_id", "k", "text", "spans"), "sh", size)
-    cut = F.flatten(F.transform("spans", lambda s: F.transform(s["starts"], lambda x: F.struct(
-        s["item_id"].alias("item_id"), s["ik"].alias("ik"), x.alias("start"), s["n"].alias("n"), F.slice("sh", x + 1, s["n"]).alias("wsh")))))
-    return hit.select("doc_id", "k", F.inline_outer(cut)).dropDuplicates(["doc_id", "k", "item_id", "ik", "start"])
+    hit = written(with_shingles(own.join(small(lists, rows), ["doc_id", "k"]).dropDuplicates(["doc_id", "k"])
+                                .select("doc_id", "k", "text", "spans"), "sh", size), "decontaminate-texts")
+    kept = first_starts(hit).groupBy("doc_id", "k").agg(F.collect_list(F.struct("item_id", "ik", "start", "n")).alias("kept"))
+    # a window is cut behind the explode, so that no row holds all windows of a text
+    return (hit.select("doc_id", "k", "sh").join(kept, ["doc_id", "k"]).select("doc_id", "k", "sh", F.inline("kept"))
+            .select("doc_id", "k", "item_id", "ik", "start", "n", F.slice("sh", F.col("start") + 1, F.col("n")).alias("wsh")))
+
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, least: float = SIMILARITY,

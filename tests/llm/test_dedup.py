@@ -196,3 +196,14 @@ def test_rows_that_repeat_an_id_with_other_texts(spark, parts):
                                 (None, words, "n")], "doc_id long, text string, t string").repartition(parts)
     assert Counter(map(tuple, simhash_dedup.one_of_each(df).collect())) == Counter(
         [(1, words, "x"), (2, "entirely other words are in this row", "z"), (None, words, "n"), (None, words, "n")])
+
+
+def test_decontaminate_long_repetitive_text(spark):
+    """200,000 words of period two and three: every start is a window of one of a few kinds."""
+    item = " ".join(["x y"] * 50)
+    docs = spark.createDataFrame([(1, " ".join(["x y"] * 100_000)), (2, " ".join(["x y z"] * 60_000)), (3, "x y " * 20), (4, "p q " + item)], "doc_id long, text string")
+    bench = spark.createDataFrame([("b", item)], "item_id string, text string")
+    windows = decontaminate.windows_of(docs, decontaminate.items_of(bench))
+    assert windows.groupBy("doc_id").count().where("doc_id = 1").first()["count"] <= 2
+    got = {r.doc_id: (r.start, r.similarity) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {1: (0, 1.0), 4: (2, 1.0)}
