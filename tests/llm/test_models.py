@@ -1,4 +1,5 @@
 """Quality, licence, mixing, secret and chat operators."""
+import hashlib
 import math
 import random
 import re
@@ -298,6 +299,18 @@ def test_secret_digest(corpus, rows, empty):
         hexes = [m for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
         want[i, len(assign), sum(len(m[0]) >= 18 for m in re.finditer("AKIA[A-Z0-9]+", t)), len(hexes)] += 1
     assert Counter((r.doc_id, r.n_assign, r.n_access, r.n_hex) for r in got) == want
+    hashes = Counter()
+    for i, t in rows:
+        base = [(m.start(), k, f"{name}:{m.start()}:{m.end()}") for k, (name, find, least) in enumerate((
+            ("assign", r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 12), ("access", "(AKIA[A-Z0-9]+)", 18), ("hex", "([0-9a-f]+)", 16)))
+            for m in re.finditer(find, t or "") if len(m[1]) >= least]
+        hashes[i, hashlib.sha256(",".join(x for _, _, x in sorted(base)).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.base_sha256) for r in got) == hashes
+    for r in got:  # the base is what is left of all spans without the added kind, and all spans are in order
+        spans = [(int(a), secret_scan.KINDS.index(k), int(b), k) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)]
+        assert spans == sorted(spans) and all(a < b for a, _, b, _ in spans)
+        left = ",".join(f"{k}:{a}:{b}" for a, _, b, k in spans if k != "literal")
+        assert hashlib.sha256(left.encode()).hexdigest() == r.base_sha256 and sum(k == "literal" for *_, k in spans) == r.n_literal
     assert secret_scan.digest(empty).count() == 0
 
 
