@@ -18,3 +18,10 @@ def test_stages(spark, corpus, labels):
 def test_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.where("copies < 1").count() == 0 and out.count() > 100
+
+
+def test_empty(spark, empty):
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, "/root/testdata/sf0.001")
+        assert out.count() == 0, name
+        assert name == corpus_pipeline.STAGES[-1][0] or out.columns == empty.columns, name
