@@ -48,6 +48,12 @@ def test_log_ratio_brute_force(spark, corpus, labels):
     assert all(abs(x - y) <= 1 for x, y in off.values()), off
 
 
+def test_quality_empty_tables(corpus, labels, empty):
+    assert quality_rules.quality(empty, labels).count() == 0
+    got = quality_rules.quality(corpus, labels.limit(0)).collect()  # no trusted rows: each row still has a verdict
+    assert len(got) == corpus.count() and all(r.kept is not None and not (r.base_failed and r.kept) for r in got)
+
+
 def test_quality_separates_labels(spark):
     docs, lab = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     truth = {r.doc_id: r.quality for r in lab.collect()}
