@@ -6,6 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from entwine.operators.update import recent_batch
+from entwine.plans.context import Ctx
 from entwine.sources import tables
 from entwine.sources.tables import raw_visits
 
@@ -75,3 +77,11 @@ def test_line_items_of_large_tables_are_shuffled_twice_at_most(spark, star, monk
 
 def test_broadcast_orders_give_the_same_visits(spark, star):
     assert plain(raw_visits(spark, star)) == plain(joined_plainly(spark, star))
+
+
+@pytest.mark.parametrize("n", [1, 20, 300, 5000])
+def test_batch_joins_late_orders_only(spark, star, n):
+    c = Ctx(spark, star)
+    late, cutoff = c._late(n)
+    assert plain(recent_batch(late, n, cutoff=cutoff)) == plain(recent_batch(c.clean, n))
+    assert n > 20 or 0 < late.count() < c.clean.count() / 2
