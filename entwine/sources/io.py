@@ -23,12 +23,14 @@ LINK_SCHEMA = T.StructType([
 #: CSV that keeps line feeds, quotes and outer white space, and tells null from empty text.
 CSV = {"header": True, "multiLine": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
        "nullValue": "\u2400"}
+#: The same for writers. The files are compressed (quickly): multi-line CSV is read a whole file a task in any case.
+CSV_OUT = {**CSV, "emptyValue": '""', "compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
 
 
 def csv_roundtrip(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write with a header, read back with the original schema (types intact)."""
     path = path or scratch_path(df.sparkSession, "csv")
-    df.write.mode("overwrite").options(**CSV, emptyValue='""').csv(path)
+    df.write.mode("overwrite").options(**CSV_OUT).csv(path)
     return df.sparkSession.read.schema(df.schema).options(**CSV, emptyValue="").csv(path)
 
 

@@ -1,6 +1,7 @@
 """The fact view and what reads it: how often line items are shuffled, and the batch of latest records."""
 
 import datetime as dt
+import glob
 import random
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from entwine.operators.update import recent_batch
 from entwine.plans.context import Ctx
-from entwine.sources import tables
+from entwine.sources import io, tables
 from entwine.sources.tables import raw_visits
 
 DAY = dt.datetime(2020, 1, 1)
@@ -85,3 +86,10 @@ def test_batch_joins_late_orders_only(spark, star, n):
     late, cutoff = c._late(n)
     assert plain(recent_batch(late, n, cutoff=cutoff)) == plain(recent_batch(c.clean, n))
     assert n > 20 or 0 < late.count() < c.clean.count() / 2
+
+
+def test_csv_is_compressed_and_comes_back(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a\nb", 1.5), (2, None, None), (3, ' "q" ', 0.1), (4, "", 2.0)], "k int, t string, x double")
+    path = str(tmp_path / "out")
+    assert plain(io.csv_roundtrip(df, path)) == plain(df)
+    assert glob.glob(f"{path}/*.csv.gz") and not glob.glob(f"{path}/*.csv")
